@@ -267,7 +267,8 @@ def default_rewriter() -> Rewriter:
 _LOADED: dict[int, Rewriter] = {}
 
 
-def _rewriter(shared) -> Rewriter:
+def rewriter_of(shared) -> Rewriter:
+    """One rewriter per Python worker and corpus, from broadcast frequencies."""
     key = hash(frozenset(shared.value.items()))
     if key not in _LOADED:
         _LOADED[key] = Rewriter(shared.value)
@@ -301,7 +302,7 @@ def unify(df: DataFrame, text: str, name: str = "plain_text", counts: Mapping[st
 
     @F.pandas_udf(T.StringType())
     def rewrite(batch):
-        one = _rewriter(shared)
+        one = rewriter_of(shared)
         return batch.map(lambda t: None if t is None else one(t))
 
     special = F.col(text).rlike(r"[^\x00-\x7F]")

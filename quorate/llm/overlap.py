@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quorate.llm.lookalike import Rewriter, frequencies
+from quorate.llm.lookalike import Rewriter, frequencies, rewriter_of
 from quorate.staging import stage
 
 COSINE = 0.35
@@ -72,7 +72,7 @@ def classes(df: DataFrame, key: str, text: str, counts: Mapping[str, int] | None
 
     @F.pandas_udf(T.StringType())
     def normal(batch: pd.Series) -> pd.Series:
-        plain = Rewriter(shared.value)
+        plain = rewriter_of(shared)
         return batch.map(lambda t: None if t is None else " ".join(words(t, plain)) or "\t" + t.strip())
 
     rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), normal(F.col(text)).alias("words"))

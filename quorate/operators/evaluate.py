@@ -42,14 +42,14 @@ def sweep(df: DataFrame, gold: str, score: str, thresholds: Sequence[float]) ->
 def ranking(df: DataFrame, gold: str, score: str) -> DataFrame:
     """Exact area under the ROC curve (ties at their average rank) and average precision, in one row.
 
-    Rows are first counted by score; the running totals then run over distinct scores.
+    Null where a side has no rows. Rows are first counted by score; the running totals then run over distinct scores.
     """
     c = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(gold) == 1).alias("p"), F.count_if(F.col(gold) != 1).alias("q"))
     down = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
     c = c.withColumns({"cp": F.sum("p").over(down), "cq": F.sum("q").over(down)})
     # Positives above each negative, ties half.
-    auc = F.sum(F.col("q") * (F.col("cp") - F.col("p") / 2)) / (F.sum("p") * F.sum("q"))
-    ap = F.sum(F.col("p") * F.col("cp") / (F.col("cp") + F.col("cq"))) / F.sum("p")
+    auc = F.try_divide(F.sum(F.col("q") * (F.col("cp") - F.col("p") / 2)), F.sum("p") * F.sum("q"))
+    ap = F.try_divide(F.sum(F.col("p") * F.col("cp") / (F.col("cp") + F.col("cq"))), F.sum("p"))
     return c.agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.round(auc, 6).alias("roc_auc"), F.round(ap, 6).alias("average_precision"))
 
 
@@ -65,14 +65,14 @@ def brier_ece(df: DataFrame, gold: str, score: str, bins: int = 10) -> DataFrame
     g = F.col(gold).cast("double")
     by = df.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.sum(score).alias("s"), F.sum(g).alias("g"), F.sum(F.pow(F.col(score) - g, F.lit(2.0))).alias("e"))
     gap = F.sum(F.when(F.col("bin").isNotNull(), F.abs(F.col("s") - F.col("g"))).otherwise(F.lit(0.0)))
-    return by.agg(F.sum("n").alias("n"), F.round(F.sum("e") / F.sum("n"), 6).alias("brier"), F.round(gap / F.sum("n"), 6).alias("ece"))
+    return by.agg(F.sum("n").alias("n"), F.round(F.try_divide(F.sum("e"), F.sum("n")), 6).alias("brier"), F.round(F.try_divide(gap, F.sum("n")), 6).alias("ece"))
 
 
 def lift(df: DataFrame, cluster: str, error: Column) -> DataFrame:
     """Size, error rate and lift over the global rate of each cluster."""
     by = df.groupBy(cluster).agg(F.count("*").alias("n"), F.sum(error.cast("long")).alias("n_error"))
     everything = Window.partitionBy(F.lit(0))  # one row per cluster
-    base = F.sum("n_error").over(everything) / F.sum("n").over(everything)
+    base = F.try_divide(F.sum("n_error").over(everything), F.sum("n").over(everything))
     rate = F.col("n_error") / F.col("n")
     return by.select(cluster, "n", "n_error", F.round(rate, 6).alias("error_rate"), F.round(F.try_divide(rate, base), 6).alias("lift"))
 
@@ -85,5 +85,5 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     cols = cell.groupBy(b).agg(F.sum("n").alias("n")).agg(F.sum(pairs(F.col("n"))).alias("rb"))
     both = cell.agg(F.sum(pairs(F.col("n"))).alias("rc"))
     one = rows.join(cols).join(both)  # three single rows
-    expected = F.col("ra") * F.col("rb") / pairs(F.col("total"))
-    return one.select(F.round((F.col("rc") - expected) / ((F.col("ra") + F.col("rb")) / 2 - expected), 6).alias("adjusted_rand"))
+    expected = F.try_divide(F.col("ra") * F.col("rb"), pairs(F.col("total")))
+    return one.select(F.round(F.try_divide(F.col("rc") - expected, (F.col("ra") + F.col("rb")) / 2 - expected), 6).alias("adjusted_rand"))

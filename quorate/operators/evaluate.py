@@ -28,14 +28,14 @@ def sweep(df: DataFrame, gold: str, score: str, thresholds: Sequence[float]) ->
     Scores are first counted between thresholds, so the thresholds meet a few
     hundred rows and not the data.
     """
-    spark = df.sparkSession
     edges = F.array(*[F.lit(float(t)) for t in thresholds])
     place = F.size(F.filter(edges, lambda t: F.col(score) >= t))
     counts = df.groupBy(place.alias("place")).agg(F.count_if(F.col(gold) == 1).alias("pos"), F.count_if(F.col(gold) != 1).alias("neg"))
-    grid = spark.createDataFrame([(i + 1, float(t)) for i, t in enumerate(thresholds)], "i int, threshold double")
-    above = F.col("place") >= F.col("i")
+    above = F.col("place") > F.col("i")
     zero = F.lit(0)
-    n = F.broadcast(grid).join(counts).groupBy("threshold").agg(*[F.sum(F.when(c, F.col(v)).otherwise(zero)).alias(a) for a, c, v in (("tp", above, "pos"), ("fp", above, "neg"), ("fn", ~above, "pos"), ("tn", ~above, "neg"))])
+    # Each of the counted rows meets each threshold: places x thresholds rows.
+    met = counts.select("place", "pos", "neg", F.posexplode(edges).alias("i", "threshold"))
+    n = met.groupBy("threshold").agg(*[F.sum(F.when(c, F.col(v)).otherwise(zero)).alias(a) for a, c, v in (("tp", above, "pos"), ("fp", above, "neg"), ("fn", ~above, "pos"), ("tn", ~above, "neg"))])
     return with_measures(n)
 
 
@@ -84,6 +84,16 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     rows = cell.groupBy(a).agg(F.sum("n").alias("n")).agg(F.sum(pairs(F.col("n"))).alias("ra"), F.sum("n").alias("total"))
     cols = cell.groupBy(b).agg(F.sum("n").alias("n")).agg(F.sum(pairs(F.col("n"))).alias("rb"))
     both = cell.agg(F.sum(pairs(F.col("n"))).alias("rc"))
-    one = rows.join(cols).join(both)  # three single rows
+    parts = rows.unionByName(cols, allowMissingColumns=True).unionByName(both, allowMissingColumns=True)
+    one = parts.agg(*[F.max(c).alias(c) for c in ("ra", "rb", "rc", "total")])
     expected = F.try_divide(F.col("ra") * F.col("rb"), pairs(F.col("total")))
     return one.select(F.round(F.try_divide(F.col("rc") - expected, (F.col("ra") + F.col("rb")) / 2 - expected), 6).alias("adjusted_rand"))
+
+
+def effect_size(df: DataFrame, group: Column, value: str) -> DataFrame:
+    """Cohen's d of two groups (true and false) with the pooled deviation, in one row; null where that is 0 or unknown."""
+    one = df.where(group.isNotNull() & F.col(value).isNotNull()).select(group.alias("g"), F.col(value).cast("double").alias("v"))
+    a, b = F.when(F.col("g"), F.col("v")), F.when(~F.col("g"), F.col("v"))
+    n = one.agg(F.count(a).alias("n1"), F.count(b).alias("n0"), F.avg(a).alias("m1"), F.avg(b).alias("m0"), F.var_samp(a).alias("v1"), F.var_samp(b).alias("v0"))
+    pooled = F.sqrt(F.try_divide((F.col("n1") - 1) * F.col("v1") + (F.col("n0") - 1) * F.col("v0"), F.col("n1") + F.col("n0") - 2))
+    return n.select("n1", "n0", F.round(F.try_divide(F.col("m1") - F.col("m0"), pooled), 6).alias("effect_size"))

@@ -100,3 +100,16 @@ def vector_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 def score_histogram(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "toxicity_scores").where("prob_toxic BETWEEN 0 AND 1 AND NOT isnan(prob_toxic)")
     return s.groupBy(vectors.closed_bin("prob_toxic", 0.0, 1.0, 20).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("score_effect", _SCORED + "SELECT count(*) FILTER (WHERE gold = 1) AS n1, count(*) FILTER (WHERE gold != 1) AS n0, CASE WHEN count(*) FILTER (WHERE gold = 1) > 1 THEN round((avg(p) FILTER (WHERE gold = 1) - avg(p) FILTER (WHERE gold != 1)) / sqrt(((count(*) FILTER (WHERE gold = 1) - 1) * var_samp(p) FILTER (WHERE gold = 1) + (count(*) FILTER (WHERE gold != 1) - 1) * var_samp(p) FILTER (WHERE gold != 1)) / (count(*) - 2)), 6) END AS effect_size FROM x")
+def score_effect(spark: SparkSession, sf: str) -> DataFrame:
+    """Effect size of the score between abusive and other comments."""
+    return evaluate.effect_size(scored(spark, sf), F.col("gold") == 1, "p")
+
+
+@query("feature_lines", "SELECT feature_id, coalesce(feature_name, '') || ': ' || coalesce(feature_value, '') || '. ' || coalesce(rationale, '') AS line FROM assignments_hdbscan")
+def feature_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The text of each feature that is embedded."""
+    part = lambda c: F.coalesce(c, F.lit(""))
+    return table(spark, sf, "assignments_hdbscan").select("feature_id", F.concat(part("feature_name"), F.lit(": "), part("feature_value"), F.lit(". "), part("rationale")).alias("line"))

@@ -168,8 +168,35 @@ def left_open(text: str) -> list[str]:
     return stack
 
 
+def company(na: int, nb: int, both: int, total: int) -> float | None:
+    """The information of two neighbours; None for words too rare to tell. Unknown neighbours count as far apart."""
+    if na < 30 or nb < 30:
+        return None
+    return max(-2.0, min(3.0, math.log((both + 0.3) / (na * nb / total + 0.3))))
+
+
+#: Neighbours that can tell shuffled words, and their least mean information in order.
+TELLING, IN_ORDER = 6, 0.3
+
+
+def breaks_off(w: str, seen: int, ends: int, starts: int, finals: int, known: int) -> bool:
+    """Whether a text whose last word this is breaks off there.
+
+    ``starts`` known words begin with the word, ``finals`` end on its last three letters.
+    """
+    if seen >= 30:
+        return ends / seen < 0.03
+    if w.isdigit():
+        return False
+    # A rare word: broken off if it begins known words and does not end as words do.
+    if seen - ends <= 2 and starts and (len(w) <= 3 or ends == 0) and seen < 3:
+        return True
+    # Few words tell nothing about the endings of others.
+    return known >= 1000 and seen == 0 and len(w) > 3 and finals <= 1
+
+
 class Endings:
-    """How words end sentences and texts in a corpus."""
+    """How words end sentences and texts in a corpus small enough to hold."""
 
     def __init__(self, words: Mapping[str, tuple[int, int]], pairs: Mapping[tuple[str, str], int] | None = None):
         self.words = words
@@ -190,28 +217,20 @@ class Endings:
         The mean information of neighbours, over words that are frequent enough
         to tell; unknown neighbours count as far apart.
         """
-        w = [x.lower().replace("’", "'") for x in words]
-        found: list[float] = []
-        for a, b in zip(w, w[1:], strict=False):
-            na, nb = self.words.get(a, (0, 0))[0], self.words.get(b, (0, 0))[0]
-            expected = na * nb / self.total
-            if na >= 30 and nb >= 30:
-                found.append(max(-2.0, min(3.0, math.log((self.pairs.get((a, b), 0) + 0.3) / (expected + 0.3)))))
-        return len(found) < 6 or sum(found) / len(found) > 0.3
+        w = [_lower(x) for x in words]
+        n = [self.words.get(x, (0, 0))[0] for x in w]
+        each = [company(n[i], n[i + 1], self.pairs.get((w[i], w[i + 1]), 0), self.total) for i in range(len(w) - 1)]
+        found = [x for x in each if x is not None]
+        return len(found) < TELLING or sum(found) / len(found) > IN_ORDER
 
     def broken(self, word: str) -> bool:
         """Whether a text whose last word this is breaks off there."""
-        w = word.lower().replace("’", "'")
-        seen, ends = self.words.get(w, (0, 0))
-        if seen >= 30:
-            return ends / seen < 0.03
-        if w.isdigit():
-            return False
-        # A rare word: broken off if it begins known words and does not end as words do.
-        if seen - ends <= 2 and self.starts[w] and (len(w) <= 3 or ends == 0) and seen < 3:
-            return True
-        # Few words tell nothing about the endings of others.
-        return len(self.words) >= 1000 and seen == 0 and len(w) > 3 and self.finals[w[-3:]] <= 1
+        w = _lower(word)
+        return breaks_off(w, *self.words.get(w, (0, 0)), self.starts[w], self.finals[w[-3:]], len(self.words))
+
+
+def _lower(word: str) -> str:
+    return word.lower().replace("’", "'")
 
 
 SUBJECT = r"(?:i|we|this assistant|the (?:assistant|model)|this (?:model|system))"
@@ -276,8 +295,8 @@ def is_copy(original: str, response: str) -> bool:
 OPEN_ENDS = set(",;:-–—(/&+=<“„«")
 
 
-def is_truncated(text: str, endings: Endings) -> bool:
-    """Whether the text breaks off: something left open, a sign that must go on, or a word that must."""
+def unfinished(text: str) -> bool | list[str]:
+    """Whether something is left open or a sign must go on; if only the last word can tell, the words that must be in order."""
     body = TAIL.sub("", text.rstrip())
     if not body:
         return False
@@ -298,33 +317,47 @@ def is_truncated(text: str, endings: Endings) -> bool:
     if len(words[-1]) == 1 and SCRIPTS["han"].match(words[-1]) is None and SCRIPTS["japanese"].match(words[-1]) is None and len(words) > 1 and len(words[-2]) == 1:
         return False  # spaced-out letters
     if any(SCRIPTS[s].match(words[-1]) for s in ("han", "japanese", "thai")):
-        return bool(opened) or endings.broken(words[-1])
+        return bool(opened) or words[-1:]
+    return words
+
+
+def is_truncated(text: str, endings: Endings) -> bool:
+    """Whether the text breaks off: something left open, a sign that must go on, or a word that must."""
+    found = unfinished(text)
     # The last word of shuffled words says nothing.
-    return endings.broken(words[-1]) and endings.in_order(words)
+    return found if isinstance(found, bool) else endings.broken(found[-1]) and endings.in_order(found)
 
 
-def defect(original: str | None, response: str | None, plain: Rewriter, endings: Endings) -> str | None:
-    """The one defect of a pair, or None."""
+def settled(original: str | None, response: str | None, plain: Rewriter) -> tuple[str | None, list[str] | None]:
+    """The one defect of a pair if the pair alone tells it; else the words whose last one can still tell, or None."""
     text = None if response is None else plain(response)
     if is_empty(text):
-        return "empty"
+        return "empty", None
     if is_refusal(text):
-        return "refusal"
+        return "refusal", None
     if original is not None:
         source = plain(original)
         if is_copy(source, text):
-            return "copy"
+            return "copy", None
         a, b = language(source), language(text)
         if a is not None and b is not None and a != b:
-            return "other_language"
-    return "truncated" if is_truncated(text, endings) else None
+            return "other_language", None
+    found = unfinished(text)
+    if isinstance(found, bool):
+        return ("truncated" if found else None), None
+    return None, [_lower(w) for w in found]
 
 
-def learn_endings(df: DataFrame, columns: list[str], counts: Mapping[str, int], least: int = 2) -> Endings:
-    """Word counts and sentence-end counts over all texts of the columns.
+def defect(original: str | None, response: str | None, plain: Rewriter, endings: Endings) -> str | None:
+    """The one defect of a pair, or None."""
+    found, words = settled(original, response, plain)
+    return "truncated" if words and endings.broken(words[-1]) and endings.in_order(words) else found
+
 
-    Words seen fewer than ``least`` times tell nothing and stay behind; what is
-    collected is a vocabulary, not texts.
+def learn_endings(df: DataFrame, columns: list[str], counts: Mapping[str, int], least: int = 2) -> DataFrame:
+    """Counts of all words (w, empty v, n, e at a sentence's end) and neighbours (w, v, n) over all texts of the columns, staged.
+
+    Those seen fewer than ``least`` times tell nothing and stay behind.
     """
     shared = df.sparkSession.sparkContext.broadcast(dict(counts))
 
@@ -350,14 +383,42 @@ def learn_endings(df: DataFrame, columns: list[str], counts: Mapping[str, int],
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array(n, pa.int64()), pa.array(e, pa.int64())], names=["w", "v", "n", "e"])
 
     texts = df.select(F.explode(F.array_distinct(F.array(*columns))).alias("t")).where("t IS NOT NULL").mapInArrow(count, "w string, v string, n long, e long")
-    counted = stage(texts.groupBy("w", "v").agg(F.sum("n").alias("n"), F.sum("e").alias("e")).where(F.col("n") >= least), "endings")
-    words = counted.where("v = ''").orderBy(F.desc("n"), "w").limit(MOST_WORDS).toPandas()
-    beside = counted.where("v != ''").orderBy(F.desc("n"), "w", "v").limit(MOST_PAIRS).toPandas()
-    return Endings(dict(zip(words["w"], zip(words["n"], words["e"], strict=True), strict=True)), dict(zip(zip(beside["w"], beside["v"], strict=True), beside["n"], strict=True)))
+    return stage(texts.groupBy("w", "v").agg(F.sum("n").alias("n"), F.sum("e").alias("e")).where(F.col("n") >= least), "endings")
 
 
-#: Size bounds of the broadcast vocabulary: the most frequent words and neighbours; others count as rare.
-MOST_WORDS, MOST_PAIRS = 200_000, 200_000
+def broken_off(texts: DataFrame, counted: DataFrame) -> DataFrame:
+    """The rows of ``texts`` (with columns row and words) that break off at their last word.
+
+    ``counted`` comes from :func:`learn_endings`. All of it is joined, so nothing
+    of the corpus is left out and nothing is held in one place.
+    """
+    known = counted.where("v = ''").select("w", "n", "e")
+    size = known.agg(F.count("*").alias("known"), F.sum("n").alias("total")).first()
+    n_known, total = size["known"], max(1, size["total"] or 0)
+    texts = texts.withColumn("w", F.element_at("words", -1))
+    asked = texts.select("w").distinct()
+    begun = known.where("length(w) > 1").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda k: F.substring("w", F.lit(1), k))).alias("w"))
+    begun = begun.join(asked, "w", "left_semi").groupBy("w").agg(F.count("*").alias("starts"))
+    finals = known.groupBy(F.expr("right(w, 3)").alias("final")).agg(F.count("*").alias("finals"))
+    told = asked.withColumn("final", F.expr("right(w, 3)")).join(known, "w", "left").join(begun, "w", "left").join(finals, "final", "left").na.fill(0, ["n", "e", "starts", "finals"])
+
+    @F.pandas_udf("boolean")
+    def breaks(w: pd.Series, n: pd.Series, e: pd.Series, starts: pd.Series, finals: pd.Series) -> pd.Series:
+        return pd.Series([breaks_off(*x, n_known) for x in zip(w, n, e, starts, finals, strict=True)], dtype=bool)
+
+    @F.pandas_udf("double")
+    def information(na: pd.Series, nb: pd.Series, both: pd.Series) -> pd.Series:
+        return pd.Series([company(*x, total) for x in zip(na, nb, both, strict=True)], dtype=float)
+
+    broken = stage(texts.join(told.where(breaks("w", "n", "e", "starts", "finals")).select("w"), "w", "left_semi"), "broken")
+    beside = broken.where("size(words) > 1").select("row", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.struct(F.element_at("words", i).alias("w"), F.element_at("words", i + 1).alias("v")))).alias("p")).select("row", "p.w", "p.v")
+    frequent = known.where("n >= 30")
+    met = beside.join(frequent.select("w", F.col("n").alias("na")), "w").join(frequent.select(F.col("w").alias("v"), F.col("n").alias("nb")), "v")
+    met = met.join(counted.where("v != ''").select("w", "v", F.col("n").alias("both")), ["w", "v"], "left").na.fill(0, ["both"])
+    # The last word of shuffled words says nothing.
+    means = met.withColumn("i", information("na", "nb", "both")).groupBy("row").agg(F.count("i").alias("n"), F.avg("i").alias("i"))
+    shuffled = means.where((F.col("n") >= TELLING) & (F.col("i") <= IN_ORDER))
+    return broken.join(shuffled, "row", "left_anti")
 
 
 def defects(df: DataFrame, key: str, original: str, response: str) -> DataFrame:
@@ -369,23 +430,15 @@ def defects(df: DataFrame, key: str, original: str, response: str) -> DataFrame:
     """
     rows = df.select(F.col(key).alias("key"), F.col(original).alias("a"), F.col(response).alias("b"))
     counts = frequencies(rows.select(F.concat_ws(" ", "a", "b").alias("t")), "t")
-    endings = learn_endings(rows, ["a", "b"], counts)
-    sc = df.sparkSession.sparkContext
-    shared, words = sc.broadcast(dict(counts)), sc.broadcast((endings.words, endings.pairs))
-
-    @F.pandas_udf("string")
-    def judge(a: pd.Series, b: pd.Series) -> pd.Series:
-        plain, ends = rewriter_of(shared), _endings(words)
-        return pd.Series([defect(x, y, plain, ends) for x, y in zip(a, b, strict=True)], dtype=object)
-
-    return rows.select(F.col("key").alias(key), judge("a", "b").alias("defect")).where("defect IS NOT NULL")
-
-
-_ENDINGS: dict[int, Endings] = {}
+    shared = df.sparkSession.sparkContext.broadcast(dict(counts))
 
+    @F.pandas_udf("defect string, words array<string>")
+    def judge(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        plain = rewriter_of(shared)
+        return pd.DataFrame([settled(x, y, plain) for x, y in zip(a, b, strict=True)], columns=["defect", "words"], dtype=object)
 
-def _endings(shared) -> Endings:
-    key = id(shared.value)
-    if key not in _ENDINGS:
-        _ENDINGS[key] = Endings(*shared.value)
-    return _ENDINGS[key]
+    judged = rows.select("key", F.monotonically_increasing_id().alias("row"), judge("a", "b").alias("j")).select("key", "row", "j.defect", "j.words")
+    judged = stage(judged.where("defect IS NOT NULL OR words IS NOT NULL"), "judged")
+    cut = broken_off(judged.where("words IS NOT NULL"), learn_endings(rows, ["a", "b"], counts))
+    found = judged.where("defect IS NOT NULL").select("key", "defect").unionByName(cut.select("key", F.lit("truncated").alias("defect")))
+    return found.select(F.col("key").alias(key), "defect")

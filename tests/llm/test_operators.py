@@ -162,6 +162,16 @@ def test_defects_of_odd_tables(spark):
     assert pairs.defects(d.limit(0), "id", "a", "b").count() == 0
 
 
+def test_truncation_needs_no_frequent_neighbours(spark):
+    said = "the old harbour council delayed every new ferry licence because"
+    words = [*said.split(), "of"]
+    # 230,000 neighbours three times each, and those of the flip only twice.
+    noise = [" ".join(x for j in range(480) for x in (f"w{i}", f"w{j}")) for i in range(480)]
+    originals = [*noise * 3, *[", ".join(words) + ", "] * 30, f"{said} of rain."]
+    d = spark.createDataFrame([*((i, t, None) for i, t in enumerate(originals)), (-1, None, said), (-2, None, " ".join(words[i] for i in (6, 2, 9, 0, 4, 8, 1, 5, 3, 7)))], "id long, a string, b string").repartition(4)
+    assert rows(pairs.defects(d, "id", "a", "b").where("id < 0")) == [(-1, "truncated")]
+
+
 # 6: abuse
 
 

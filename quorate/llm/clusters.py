@@ -27,7 +27,7 @@ MOST_COMPONENTS = 3
 ROUNDS = 4
 #: A record's rarest words that form pairs; longer records have the rest in their features only.
 PAIR_WORDS = 14
-#: A form's pairs that are tried as its block, and the share of its mass that they must come with.
+#: A form's pairs that are tried first as its block, and the share of its mass that they must come with.
 TRIED, SUBSTANCE = 6, 0.47
 #: Least records of a cluster, and of a pair of words that can make a block.
 LEAST = 3
@@ -63,8 +63,9 @@ def _blocks(terms: DataFrame, n: float) -> DataFrame:
     """form and block: the most specific pair of its words among those that come with a whole statement.
 
     Of a form's pairs the TRIED that go together most often against chance are
-    candidates. What most records of a pair have in common must make up at least
-    SUBSTANCE of the form's mass, else the pair is a figure of speech.
+    candidates; forms for which none of them is sound go on to all their pairs.
+    What most records of a pair have in common must make up at least SUBSTANCE of
+    the form's mass, else the pair is a figure of speech.
     """
     own_words = Window.partitionBy("form")
     rare = terms.withColumn("r", F.row_number().over(own_words.orderBy("count", "term"))).where(F.col("r") <= PAIR_WORDS)
@@ -75,13 +76,41 @@ def _blocks(terms: DataFrame, n: float) -> DataFrame:
     # Pairs of three records are easily chance: the count enters beside the lift.
     score = F.log(F.col("both") * n / F.col("chance")) * F.sqrt(F.least(F.col("both").cast("double"), F.lit(9.0)))
     ranked = pairs.join(together, "pair").withColumn("score", score).withColumn("r", F.row_number().over(own_words.orderBy(F.desc("score"), "pair")))
-    tried = stage(ranked.where(F.col("r") <= TRIED).select("form", "weight", "pair", "score"), "cluster-pairs")
+    ranked = stage(ranked.select("form", "weight", "pair", "both", "score", "r"), "cluster-pairs")
+    first = stage(_sound(ranked.where(F.col("r") <= TRIED), terms), "cluster-first")
+    # A word common to a pair's records is in COMMON of them at least; pairs whose words cannot make up enough of a form drop out beforehand.
+    held = terms.groupBy("form").agg(F.collect_list(F.struct("count", "mass")).alias("held"), F.sum("mass").alias("whole"))
+    most = F.aggregate(F.filter("held", lambda t: t["count"] >= COMMON * F.col("both")), F.lit(0.0), lambda a, t: a + t["mass"])
+    left = ranked.join(first, "form", "left_anti").join(held, "form").where(most >= 0.999 * STATED * F.col("whole"))
+    left = stage(left.select("form", "weight", "pair", "score"), "cluster-left")
+    # Their pairs count with all records that have them, also those with another block.
+    common = _commons(ranked.join(left.select("pair").distinct(), "pair", "left_semi").select("form", "weight", "pair"), terms)
+    said = common.groupBy("pair").agg(F.sum("mass").alias("said"))
+    own = left.join(common, "pair").join(terms.select("form", "term"), ["form", "term"]).groupBy("form", "pair", "score").agg(F.sum("mass").alias("own"))
+    rest = own.join(said, "pair").join(_wholes(terms), "form").where((F.col("own") >= STATED * F.col("said")) & (F.col("own") >= STATED * F.col("whole")))
+    return first.unionByName(_best(rest))
+
+
+def _commons(tried: DataFrame, terms: DataFrame) -> DataFrame:
+    """pair, term and mass of the words that most records of a pair have in common."""
     sizes = tried.groupBy("pair").agg(F.sum("weight").alias("n"))
     shares = tried.join(terms.select("form", "term", "mass"), "form").groupBy("pair", "term", "mass").agg(F.sum("weight").alias("c"))
-    substance = shares.join(sizes, "pair").where((F.col("n") >= LEAST) & (F.col("c") >= COMMON * F.col("n"))).groupBy("pair").agg(F.sum("mass").alias("said"))
-    whole = terms.groupBy("form").agg(F.sum("mass").alias("whole"))
-    sound = tried.join(substance, "pair").join(whole, "form").where(F.col("said") >= SUBSTANCE * F.col("whole"))
-    best = sound.withColumn("most", F.max("said").over(own_words)).where(F.col("said") >= 0.7 * F.col("most"))
+    return shares.join(sizes, "pair").where((F.col("n") >= LEAST) & (F.col("c") >= COMMON * F.col("n"))).select("pair", "term", "mass")
+
+
+def _wholes(terms: DataFrame) -> DataFrame:
+    return terms.groupBy("form").agg(F.sum("mass").alias("whole"))
+
+
+def _sound(tried: DataFrame, terms: DataFrame) -> DataFrame:
+    """form and block of the forms that have a sound pair."""
+    substance = _commons(tried, terms).groupBy("pair").agg(F.sum("mass").alias("said"))
+    return _best(tried.join(substance, "pair").join(_wholes(terms), "form").where(F.col("said") >= SUBSTANCE * F.col("whole")))
+
+
+def _best(sound: DataFrame) -> DataFrame:
+    """form and block: the pair of best score among those that say nearly the most."""
+    best = sound.withColumn("most", F.max("said").over(Window.partitionBy("form"))).where(F.col("said") >= 0.7 * F.col("most"))
     return best.groupBy("form").agg(F.max_by("pair", F.struct("score", "pair")).alias("block"))
 
 

@@ -128,6 +128,16 @@ def test_clusters_of_claims(spark):
     assert clusters.cluster(d.limit(0), "id", "text").count() == 0
 
 
+def test_clusters_of_claims_in_a_common_frame(spark):
+    # The frame alone has more pairs of high lift than are tried first.
+    frame = "before lunar tidal galas open"
+    data = [(f"c{i}", f"herons guard amber lanterns upstream {frame}") for i in range(4)]
+    data += [(f"f{i}", f"odd{i} remark{i} upon{i} nothing{i} {frame}") for i in range(5)]
+    data += [(f"n{i}", f"plain{i} words{i} without{i} sense{i}") for i in range(91)]
+    got = clusters.cluster(spark.createDataFrame(data, "id string, text string"), "id", "text")
+    assert rows(got.select("feature_id", "cluster_key")) == [(f"c{i}", "c0") for i in range(4)]
+
+
 # 5: pairs
 
 

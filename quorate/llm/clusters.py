@@ -25,8 +25,6 @@ from quorate.staging import stage
 DIMENSIONS = 12
 MOST_COMPONENTS = 3
 ROUNDS = 4
-#: A record's rarest words that form pairs; longer records have the rest in their features only.
-PAIR_WORDS = 14
 #: A form's pairs that are tried first as its block, and the share of its mass that they must come with.
 TRIED, SUBSTANCE = 6, 0.47
 #: Least records of a cluster, and of a pair of words that can make a block.
@@ -68,10 +66,11 @@ def _blocks(terms: DataFrame, n: float) -> DataFrame:
     the form's mass, else the pair is a figure of speech.
     """
     own_words = Window.partitionBy("form")
-    rare = terms.withColumn("r", F.row_number().over(own_words.orderBy("count", "term"))).where(F.col("r") <= PAIR_WORDS)
-    lists = rare.groupBy("form", "weight").agg(F.array_sort(F.collect_list(F.struct("term", "count"))).alias("t"))
-    pairs = lists.select("form", "weight", F.explode(F.flatten(F.transform("t", lambda a, i: F.transform(F.slice("t", i + 2, F.lit(PAIR_WORDS)), lambda b: F.struct(F.concat_ws(" ", a["term"], b["term"]).alias("pair"), (a["count"].cast("double") * b["count"]).alias("chance")))))).alias("p"))
-    pairs = pairs.select("form", "weight", "p.pair", "p.chance")
+    # A pair of LEAST records has no word of fewer; pairs are made word by word, so a long form needs no long array.
+    shared = terms.where(F.col("count") >= LEAST).groupBy("form", "weight").agg(F.array_sort(F.collect_list(F.struct("term", "count"))).alias("t"))
+    firsts = shared.select("form", "weight", "t", F.posexplode("t").alias("i", "a"))
+    pairs = firsts.select("form", "weight", "a", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("b"))
+    pairs = pairs.select("form", "weight", F.concat_ws(" ", "a.term", "b.term").alias("pair"), (F.col("a.count").cast("double") * F.col("b.count")).alias("chance"))
     together = pairs.groupBy("pair").agg(F.sum("weight").alias("both")).where(F.col("both") >= LEAST)
     # Pairs of three records are easily chance: the count enters beside the lift.
     score = F.log(F.col("both") * n / F.col("chance")) * F.sqrt(F.least(F.col("both").cast("double"), F.lit(9.0)))

@@ -138,6 +138,14 @@ def test_clusters_of_claims_in_a_common_frame(spark):
     assert rows(got.select("feature_id", "cluster_key")) == [(f"c{i}", "c0") for i in range(4)]
 
 
+def test_clusters_of_long_records(spark):
+    claim = " ".join(f"claim{j}" for j in range(30))
+    data = [(f"c{i}", f"{claim} " + " ".join(f"typo{i}x{j}" for j in range(14))) for i in range(4)]
+    data += [(f"n{i}", f"plain{i} words{i} without{i} sense{i}") for i in range(91)]
+    got = clusters.cluster(spark.createDataFrame(data, "id string, text string"), "id", "text")
+    assert rows(got.select("feature_id", "cluster_key")) == [(f"c{i}", "c0") for i in range(4)]
+
+
 # 5: pairs
 
 

@@ -1,238 +1,370 @@
-"""Similarity clusters by Gaussian mixtures, for any number of clusters.
-
-One mixture over millions of records cannot have a component for each of their
-thousands of claims, so the mixture is fitted within blocks, and for all blocks
-at once: a record's block is its most specific pair of words, the one that goes
-together most often against chance among all pairs that at least three records
-have. Features are hashed projections of weighted words, standardised over all
-records. Each block gets mixtures of one to ``MOST_COMPONENTS`` components by
-expectation-maximisation, their spherical covariances regularised towards the
-pooled one; the Bayesian information criterion chooses between them. An exact
-check keeps the members that state most of what their cluster has in common.
-
-All steps are joins and aggregations with partial sums, so a block may be of any
-size. Records with the same words count as one form with a weight.
+"""Similarity clusters by a Gaussian mixture of as many components as the criterion asks for.
+
+A record is its weighted words, projected on ``DIMENSIONS`` signs of their hashes
+and standardised over all records. Components have spherical covariances that are
+regularised towards a floor. The mixture is found in four steps:
+
+1. records are laid out by their rarest shared word, and each layout of records is
+   divided in two by expectation-maximisation for as long as the Bayesian
+   information criterion falls;
+2. expectation-maximisation over all components: a record weighs its own
+   component against all that share one of their telling words with it, until
+   almost none moves;
+3. components whose union has the better criterion unite, until none do, and
+   records are weighed once more;
+4. records too far from the mean of their component belong to the background.
+
+Step 1 sees at most ``LAYOUT`` records at a time: larger layouts are divided by a
+second word and then at random, and step 3 unites again what belongs together.
+Everything else is joins and aggregations with partial sums, so that components
+may be of any size. Records with the same words count as one form with a weight.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorate.staging import stage
 
-#: Reduced dimensions, components and EM rounds.
-DIMENSIONS = 12
-MOST_COMPONENTS = 3
-ROUNDS = 4
-#: A form's pairs that are tried first as its block, and the share of its mass that they must come with.
-TRIED, SUBSTANCE = 6, 0.47
-#: Least records of a cluster, and of a pair of words that can make a block.
+#: Reduced dimensions, a multiple of 64.
+DIMENSIONS = 192
+#: Weight of the words of the second text beside those of the first.
+BESIDE = 0.5
+#: Least variance of a component, and the records of that variance that every component is given beforehand.
+FLOOR, PRIOR = 0.35, 8.0
+#: Variance within a component that a union may have, and the records that tell of a union at most.
+WITHIN, TOLD = 0.5, 2.0
+#: Farthest squared distance per dimension of a member from the mean of the others, beyond which the background is likelier.
+FARTHEST = 0.6
+#: Least records of a cluster, and of a word that can hold one together.
 LEAST = 3
-#: Strength of the pull of covariances towards the pooled one, in records.
-PRIOR = 8.0
-#: A word is common to a cluster from this share on; a member needs this share of the common weight.
-COMMON, STATED, SAME = 0.6, 0.6, 0.6
-
-_XS = [f"x{d}" for d in range(DIMENSIONS)]
+#: Most records that one task divides at a time.
+LAYOUT = 5000
+#: A component's word is one that this share of its records has; its telling words make up this share of their mass.
+COMMON, TELLING = 0.5, 0.6
+#: Salts of a hot word, and the share of records at whose moving expectation-maximisation ends.
+SALTS, SETTLED = 16, 1e-3
 
 
-def _words(c: Column) -> Column:
-    plain = F.regexp_replace(F.lower(c), r"['’]s\b", "")
-    return F.array_distinct(F.regexp_extract_all(plain, F.lit(r"([\p{L}\p{M}\p{N}]+)"), 1))
+def _words(c: str) -> Column:
+    plain = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"['’]s\b", "")
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(plain, F.lit(r"([\p{L}\p{M}\p{N}]+)"), 1)))
 
 
-def _forms(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Members (key, form) and forms (form, words, weight) of equal word sets."""
-    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.array_sort(_words(F.coalesce(text, F.lit("")))).alias("words")).where(F.size("words") > 0)
-    rows = rows.withColumn("form", F.sha2(F.concat_ws(" ", "words"), 256))
-    forms = rows.groupBy("form").agg(F.first("words").alias("words"), F.count_distinct("key").alias("weight"))
-    return rows.select("key", "form").distinct(), forms
+def _forms(df: DataFrame, key: str, text: str, beside: str | None) -> tuple[DataFrame, DataFrame]:
+    """Members (key, form) and forms (form, weight, first, second) of equal word sets."""
+    second = _words(beside) if beside else F.array().cast("array<string>")
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), _words(text).alias("first"), second.alias("second"))
+    rows = rows.where(F.size("first") + F.size("second") > 0).withColumn("form", F.sha2(F.concat(F.concat_ws(" ", "first"), F.lit("\n"), F.concat_ws(" ", "second")), 256))
+    # A number in place of the hash: the forms are written once, so it stays.
+    counted = rows.groupBy("form").agg(F.first("first").alias("first"), F.first("second").alias("second"), F.count_distinct("key").alias("weight"))
+    forms = stage(counted.withColumn("id", F.monotonically_increasing_id()), "cluster-forms")
+    members = rows.select("key", "form").distinct().join(forms.select("form", "id"), "form").select("key", F.col("id").alias("form"))
+    return stage(members, "cluster-members"), forms.select(F.col("id").alias("form"), "weight", "first", "second")
 
 
 def _terms(forms: DataFrame, n: float) -> DataFrame:
-    """form, weight, term, count (records with the term), idf and mass (its square)."""
-    terms = forms.select("form", "weight", F.explode("words").alias("term"))
-    df = terms.groupBy("term").agg(F.sum("weight").alias("count"))
-    return terms.join(df, "term").withColumn("idf", F.log(F.lit(n) / F.col("count")) + 0.01).withColumn("mass", F.col("idf") * F.col("idf"))
+    """form, weight, term, count (records with the term), u (weight in the unit vector) and lead (a word of the first text)."""
+    t = forms.select("form", "weight", "first", "second", F.explode(F.array_union("first", "second")).alias("term"))
+    t = t.withColumn("lead", F.array_contains("first", F.col("term")))
+    t = t.withColumn("tf", F.col("lead").cast("double") + BESIDE * F.array_contains("second", F.col("term")).cast("double")).drop("first", "second")
+    counts = t.groupBy("term").agg(F.sum("weight").alias("count"))
+    # The counts are copied for each salt, so that a word that most records have is spread.
+    salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    t = t.withColumn("salt", F.pmod("form", F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"]).drop("salt")
+    # A word that fewer than LEAST records have tells as much as one that LEAST have.
+    t = t.withColumn("x", F.col("tf") * (F.log(F.lit(n) / F.greatest("count", F.lit(LEAST))).cast("double") + 0.01))
+    norms = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("form")))  # as many rows as the texts have words
+    return t.select("form", "weight", "term", "count", "lead", (F.col("x") / norms).alias("u"))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """The rows of a list column of one length."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _vectors(terms: DataFrame) -> DataFrame:
+    """form, weight, rare (the one or two rarest shared words, null without any) and x, the projection, before it is standardised."""
+    halves = DIMENSIONS // 64
+    bits = F.array(*[F.xxhash64(F.lit(k), "term") for k in range(halves)])
+    shared = F.when(F.col("count") >= LEAST, F.struct("count", "term"))
+    rows = terms.withColumn("bits", bits).groupBy("form", "weight").agg(F.collect_list(F.struct("bits", "u")).alias("t"), F.collect_list(F.when(F.col("lead"), shared)).alias("leads"), F.min(shared).alias("other"))
+    rarest = F.coalesce(F.transform(F.slice(F.array_sort("leads"), 1, 2), lambda s: s["term"]), F.array().cast("array<string>"))
+    rows = rows.select("form", "weight", F.when(F.size(rarest) > 0, rarest).when(F.col("other").isNotNull(), F.array("other.term")).alias("rare"), F.flatten(F.transform("t", lambda s: s["bits"])).alias("bits"), F.transform("t", lambda s: s["u"]).alias("u"))
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            u = b.column(4).flatten().to_numpy(zero_copy_only=False)
+            sizes = np.diff(b.column(4).offsets.to_numpy())
+            hashed = b.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint8)
+            signs = np.unpackbits(hashed).reshape(len(u), DIMENSIONS).astype(np.float64) * 2 - 1
+            x = np.zeros((b.num_rows, DIMENSIONS))
+            np.add.at(x, np.repeat(np.arange(b.num_rows), sizes), signs * u[:, None])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))], names=["form", "weight", "rare", "x"])
+
+    return rows.mapInArrow(project, "form long, weight long, rare array<string>, x array<float>")
+
+
+def _scales(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Means and deviations of the dimensions over all records: partial sums per task, added up per dimension."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, s, q = 0.0, np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
+        for b in batches:
+            x, weight = _matrix(b.column(1)), b.column(0).to_numpy().astype(float)
+            w, s, q = w + weight.sum(), s + weight @ x, q + weight @ (x * x)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMENSIONS)), pa.array(np.full(DIMENSIONS, w)), pa.array(s), pa.array(q)], names=["d", "w", "s", "q"])
+
+    parts = vectors.select("weight", "x").mapInArrow(sums, "d long, w double, s double, q double")
+    rows = parts.groupBy("d").agg(F.sum("w").alias("w"), F.sum("s").alias("s"), F.sum("q").alias("q")).orderBy("d").collect()  # DIMENSIONS rows
+    w, s, q = (np.array([r[c] for r in rows]) for c in ("w", "s", "q"))
+    mean = s / np.maximum(w, 1e-9)
+    return mean, np.sqrt(np.maximum(q / np.maximum(w, 1e-9) - mean * mean, 1e-12))
+
+
+def _standardised(vectors: DataFrame, mean: np.ndarray, deviation: np.ndarray) -> DataFrame:
+    def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = ((_matrix(b.column(3)) - mean) / deviation).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(list(x), pa.list_(pa.float32()))], names=["form", "weight", "rare", "x"])
+
+    return vectors.mapInArrow(scale, "form long, weight long, rare array<string>, x array<float>")
+
+
+def _log_densities(x: np.ndarray, means: np.ndarray, variances: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    d = (x * x).sum(1)[:, None] - 2 * x @ means.T + (means * means).sum(1)[None]
+    return np.log(shares)[None] - 0.5 * d / variances[None] - 0.5 * x.shape[1] * np.log(2 * np.pi * variances)[None]
+
+
+def _variance(x: np.ndarray, mean: np.ndarray, r: np.ndarray) -> float:
+    return max(FLOOR, float(r @ ((x - mean) ** 2).sum(1)) / (x.shape[1] * max(float(r.sum()), 1e-9)))
+
+
+def _one(x: np.ndarray, w: np.ndarray) -> float:
+    """Log likelihood of one component."""
+    mean = w @ x / w.sum()
+    return float(w @ _log_densities(x, mean[None], np.array([_variance(x, mean, w)]), np.ones(1))[:, 0])
+
+
+def _two(x: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray] | None:
+    """Log likelihood and labels of two components, started along the longest axis; None if one is left empty."""
+    centred = x - w @ x / w.sum()
+    axis = centred[np.argmax((centred * centred).sum(1))]
+    for _ in range(4):
+        axis = centred.T @ (w * (centred @ axis))
+        axis /= max(float(np.linalg.norm(axis)), 1e-12)
+    first = (centred @ axis > 0).astype(float)
+    r, before = np.stack([first, 1 - first], 1), -np.inf
+    while True:
+        held = (r * w[:, None]).sum(0)
+        if held.min() < 0.5:
+            return None
+        means = (r * w[:, None]).T @ x / held[:, None]
+        variances = np.array([_variance(x, means[k], r[:, k] * w) for k in (0, 1)])
+        d = _log_densities(x, means, variances, held / held.sum())
+        top = d.max(1, keepdims=True)
+        e = np.exp(d - top)
+        whole = e.sum(1, keepdims=True)
+        r, now = e / whole, float(w @ (top + np.log(whole))[:, 0])
+        if now - before < 1e-4 * abs(now):  # the likelihood never falls by more than rounding, so this ends
+            return now, r.argmax(1)
+        before = now
+
+
+def divide(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Labels of the components that the information criterion asks for, divided in two again and again."""
+    labels, todo, k = np.zeros(len(x), np.int64), [np.arange(len(x))], 0
+    while todo:
+        i = todo.pop()
+        if len(i) > 1:
+            two = _two(x[i], w[i])
+            if two is not None and 0 < two[1].sum() < len(i) and 2 * (two[0] - _one(x[i], w[i])) > (x.shape[1] + 2) * np.log(w[i].sum()):
+                todo += [i[two[1] == 0], i[two[1] == 1]]
+                continue
+        labels[i] = k
+        k += 1
+    return labels
+
+
+def _layouts(vectors: DataFrame) -> DataFrame:
+    """Adds ``layout``: the rarest word; where more than LAYOUT forms share it the two rarest, and where that is not enough a part by hash."""
+    one = F.element_at("rare", 1)
+    two = F.concat_ws("\t", "rare")
+    n1 = vectors.groupBy(one.alias("one")).agg(F.count("*").alias("n1")).where(F.col("n1") > LAYOUT)
+    n2 = vectors.groupBy(one.alias("one"), two.alias("two")).agg(F.count("*").alias("n2")).where(F.col("n2") > LAYOUT)
+    # At most one in LAYOUT forms is a row of these.
+    d = vectors.withColumns({"one": one, "two": two}).join(n1, "one", "left").join(n2, ["one", "two"], "left")
+    part = F.pmod(F.xxhash64("form"), F.ceil(F.col("n2") / LAYOUT)).cast("string")
+    layout = F.when(F.col("n1").isNull(), F.col("one")).when(F.col("n2").isNull(), F.col("two")).otherwise(F.concat_ws("\t", "two", part))
+    return d.select("form", "weight", "x", layout.alias("layout"))
+
+
+def _components(laid: DataFrame) -> DataFrame:
+    """form, weight, x and comp, the component of step 1: the hash of layout and number."""
+
+    def components(table: pa.Table) -> pa.Table:
+        one = table.combine_chunks()
+        x, w = _matrix(one["x"].combine_chunks()), one["weight"].to_numpy().astype(float)
+        labels = divide(x, w) if len(x) > 1 else np.zeros(1, np.int64)
+        return one.append_column("k", pa.array(labels))
+
+    done = laid.groupBy("layout").applyInArrow(components, "form long, weight long, x array<float>, layout string, k long")
+    return done.select("form", "weight", "x", F.xxhash64("layout", "k").alias("comp"))
+
+
+def _stats(placed: DataFrame) -> DataFrame:
+    """comp, n, mean and q (mean squared norm per dimension), by partial sums in the JVM."""
+    v = placed.select("comp", F.col("weight").cast("double").alias("w"), array_to_vector("x").alias("v"))
+    s = v.groupBy("comp").agg(Summarizer.metrics("mean", "normL2").summary(F.col("v"), F.col("w")).alias("s"), F.sum("w").alias("n"), F.sum(F.col("w") * F.aggregate(vector_to_array("v"), F.lit(0.0), lambda a, y: a + y * y)).alias("q"))
+    return s.select("comp", "n", vector_to_array("s.mean", "float32").alias("mean"), (F.col("q") / F.col("n") / DIMENSIONS).alias("q"))
+
+
+def _word_sums(placed: DataFrame, terms: DataFrame) -> DataFrame:
+    """comp, term, c (records with it) and s (sum of its weights)."""
+    return placed.select("form", "comp").join(terms.where(F.col("count") >= LEAST), "form").groupBy("comp", "term").agg(F.sum("weight").alias("c"), F.sum(F.col("weight") * F.col("u")).alias("s"))
+
+
+def _common(sums: DataFrame, stats: DataFrame) -> DataFrame:
+    """comp, term, m (mean weight), mass (of all) and ahead (share of it in heavier words) of each component's common words.
+
+    Whoever shares more than 1 - s of the mass shares a word that has less than s ahead.
+    """
+    common = sums.join(stats.select("comp", "n"), "comp").where(F.col("c") >= COMMON * F.col("n")).withColumn("m", F.col("s") / F.col("n"))
+    mass = F.col("m") * F.col("m")
+    # At most 1 / COMMON times as many rows as a record has words.
+    order = Window.partitionBy("comp").orderBy(F.desc("m"), "term")
+    d = common.withColumns({"upto": F.sum(mass).over(order.rowsBetween(Window.unboundedPreceding, 0)), "mass": F.sum(mass).over(Window.partitionBy("comp"))})
+    return d.select("comp", "term", "m", "mass", ((F.col("upto") - mass) / F.col("mass")).alias("ahead"))
+
+
+def _variances() -> Column:
+    """Regularised variance of a component of n, mean and q."""
+    spread = F.greatest(F.lit(0.0), F.col("q") - F.aggregate(F.transform("mean", lambda y: y.cast("double") * y), F.lit(0.0), lambda a, y: a + y) / DIMENSIONS)
+    return F.greatest(F.lit(FLOOR), (F.col("n") * spread + PRIOR * FLOOR) / (F.col("n") + PRIOR))
+
+
+def _weighed(placed: DataFrame, terms: DataFrame) -> DataFrame:
+    """form, weight, x, comp, d and moved: every record with the component of greatest density; d is the squared distance per dimension from the mean of the others."""
+    stats = stage(_stats(placed), "cluster-stats")
+    telling = _common(_word_sums(placed, terms), stats).where(F.col("ahead") < TELLING)
+    met = terms.where(F.col("count") >= LEAST).select("form", "term", "u").join(telling, "term").groupBy("form", "comp").agg(F.sum(F.col("u") * F.col("m")).alias("dot"), F.max("mass").alias("mass"))
+    # Those that have little of a component's words are not near its mean.
+    met = met.where(F.col("dot") >= 0.25 * F.col("mass")).select("form", "comp")
+    own = placed.select("form", "comp")
+    pairs = met.unionByName(own).distinct().join(placed.select("form", "weight", "x", F.col("comp").alias("was")), "form")
+    pairs = pairs.join(stats.select("comp", "n", "mean", _variances().alias("v")), "comp").join(stats.select(F.col("comp").alias("was"), F.col("n").alias("n0")), "was")
+    # Whoever is alone moves to a larger component only, so that two do not change places.
+    pairs = pairs.where((F.col("n0") > F.col("weight")) | (F.struct("n", "comp") >= F.struct("n0", "was"))).select("form", "weight", "was", "comp", "n", "v", "x", "mean")
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, v = b.column(4).to_numpy(), b.column(5).to_numpy()
+            d = ((_matrix(b.column(6)) - _matrix(b.column(7))) ** 2).mean(1) if b.num_rows else np.zeros(0)
+            score = np.log(n) - 0.5 * DIMENSIONS * (d / v + np.log(v))
+            # The mean of the others is farther away by n over what is left of n without the record.
+            own = b.column(2).to_numpy() == b.column(3).to_numpy()
+            others = n - np.where(own, b.column(1).to_numpy(), 0)
+            d *= (n / np.maximum(others, 1)) ** 2
+            # A form that is alone fits its own mean anyhow: what counts is how well the background has it.
+            alone = own & (others < 0.5)
+            x = _matrix(b.column(6))[alone]
+            score[alone] = np.log(n[alone]) - 0.5 * DIMENSIONS * (x * x).mean(1)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(score), pa.array(d)], names=["form", "weight", "was", "comp", "score", "d"])
+
+    scored = pairs.mapInArrow(weigh, "form long, weight long, was long, comp long, score double, d double")
+    best = scored.groupBy("form").agg(F.max_by(F.struct("comp", "d"), F.struct("score", "comp")).alias("b"), F.first("was").alias("was"))
+    return stage(placed.select("form", "weight", "x").join(best, "form").select("form", "weight", "x", "b.comp", "b.d", (F.col("b.comp") != F.col("was")).alias("moved")), "cluster-weighed")
+
+
+def _settle(placed: DataFrame, terms: DataFrame, n: float) -> DataFrame:
+    """Expectation-maximisation until at most SETTLED of the records move, or no fewer than before."""
+    before = np.inf
+    while True:
+        placed = _weighed(placed, terms)
+        now = placed.where("moved").agg(F.sum("weight")).first()[0] or 0
+        if now <= SETTLED * n or now >= before:
+            return placed
+        before = now
 
 
-def _blocks(terms: DataFrame, n: float) -> DataFrame:
-    """form and block: the most specific pair of its words among those that come with a whole statement.
+def _unions(stats: DataFrame, common: DataFrame) -> DataFrame:
+    """comp and to: the larger component, if any, with which the union has the best criterion.
 
-    Of a form's pairs the TRIED that go together most often against chance are
-    candidates; forms for which none of them is sound go on to all their pairs.
-    What most records of a pair have in common must make up at least SUBSTANCE of
-    the form's mass, else the pair is a figure of speech.
-    """
-    own_words = Window.partitionBy("form")
-    # A pair of LEAST records has no word of fewer; pairs are made word by word, so a long form needs no long array.
-    shared = terms.where(F.col("count") >= LEAST).groupBy("form", "weight").agg(F.array_sort(F.collect_list(F.struct("term", "count"))).alias("t"))
-    firsts = shared.select("form", "weight", "t", F.posexplode("t").alias("i", "a"))
-    pairs = firsts.select("form", "weight", "a", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("b"))
-    pairs = pairs.select("form", "weight", F.concat_ws(" ", "a.term", "b.term").alias("pair"), (F.col("a.count").cast("double") * F.col("b.count")).alias("chance"))
-    together = pairs.groupBy("pair").agg(F.sum("weight").alias("both")).where(F.col("both") >= LEAST)
-    # Pairs of three records are easily chance: the count enters beside the lift.
-    score = F.log(F.col("both") * n / F.col("chance")) * F.sqrt(F.least(F.col("both").cast("double"), F.lit(9.0)))
-    ranked = pairs.join(together, "pair").withColumn("score", score).withColumn("r", F.row_number().over(own_words.orderBy(F.desc("score"), "pair")))
-    ranked = stage(ranked.select("form", "weight", "pair", "both", "score", "r"), "cluster-pairs")
-    first = stage(_sound(ranked.where(F.col("r") <= TRIED), terms), "cluster-first")
-    # A word common to a pair's records is in COMMON of them at least; pairs whose words cannot make up enough of a form drop out beforehand.
-    held = terms.groupBy("form").agg(F.collect_list(F.struct("count", "mass")).alias("held"), F.sum("mass").alias("whole"))
-    most = F.aggregate(F.filter("held", lambda t: t["count"] >= COMMON * F.col("both")), F.lit(0.0), lambda a, t: a + t["mass"])
-    left = ranked.join(first, "form", "left_anti").join(held, "form").where(most >= 0.999 * STATED * F.col("whole"))
-    left = stage(left.select("form", "weight", "pair", "score"), "cluster-left")
-    # Their pairs count with all records that have them, also those with another block.
-    common = _commons(ranked.join(left.select("pair").distinct(), "pair", "left_semi").select("form", "weight", "pair"), terms)
-    said = common.groupBy("pair").agg(F.sum("mass").alias("said"))
-    own = left.join(common, "pair").join(terms.select("form", "term"), ["form", "term"]).groupBy("form", "pair", "score").agg(F.sum("mass").alias("own"))
-    rest = own.join(said, "pair").join(_wholes(terms), "form").where((F.col("own") >= STATED * F.col("said")) & (F.col("own") >= STATED * F.col("whole")))
-    return first.unionByName(_best(rest))
-
-
-def _commons(tried: DataFrame, terms: DataFrame) -> DataFrame:
-    """pair, term and mass of the words that most records of a pair have in common."""
-    sizes = tried.groupBy("pair").agg(F.sum("weight").alias("n"))
-    shares = tried.join(terms.select("form", "term", "mass"), "form").groupBy("pair", "term", "mass").agg(F.sum("weight").alias("c"))
-    return shares.join(sizes, "pair").where((F.col("n") >= LEAST) & (F.col("c") >= COMMON * F.col("n"))).select("pair", "term", "mass")
-
-
-def _wholes(terms: DataFrame) -> DataFrame:
-    return terms.groupBy("form").agg(F.sum("mass").alias("whole"))
-
-
-def _sound(tried: DataFrame, terms: DataFrame) -> DataFrame:
-    """form and block of the forms that have a sound pair."""
-    substance = _commons(tried, terms).groupBy("pair").agg(F.sum("mass").alias("said"))
-    return _best(tried.join(substance, "pair").join(_wholes(terms), "form").where(F.col("said") >= SUBSTANCE * F.col("whole")))
-
-
-def _best(sound: DataFrame) -> DataFrame:
-    """form and block: the pair of best score among those that say nearly the most."""
-    best = sound.withColumn("most", F.max("said").over(Window.partitionBy("form"))).where(F.col("said") >= 0.7 * F.col("most"))
-    return best.groupBy("form").agg(F.max_by("pair", F.struct("score", "pair")).alias("block"))
-
-
-def _features(terms: DataFrame) -> DataFrame:
-    """form, weight and standardised projections; a term's signs are bits of its hash."""
-    h = F.xxhash64("term")
-    sums = terms.groupBy("form", "weight").agg(*[F.sum(F.col("idf") * (1 - 2 * F.shiftright(h, d).bitwiseAND(F.lit(1)))).alias(x) for d, x in enumerate(_XS)], F.sum(F.col("idf") * F.col("idf")).alias("norm"))
-    unit = sums.select("form", "weight", *[(F.col(x) / F.sqrt("norm")).alias(x) for x in _XS])
-    s = unit.agg(*[F.expr(f"sum(weight * {x}) / sum(weight)").alias(f"m{x}") for x in _XS], *[F.expr(f"sum(weight * {x} * {x}) / sum(weight)").alias(f"q{x}") for x in _XS]).first()
-    scale = {x: max(1e-9, (s[f"q{x}"] or 0.0) - (s[f"m{x}"] or 0.0) ** 2) ** 0.5 for x in _XS}
-    return unit.select("form", "weight", *[((F.col(x) - (s[f"m{x}"] or 0.0)) / scale[x]).alias(x) for x in _XS])
-
-
-def _squares() -> Column:
-    return sum((F.col(x) * F.col(x) for x in _XS[1:]), F.col(_XS[0]) * F.col(_XS[0]))
-
-
-def _maximise(resp: DataFrame, floor: float) -> DataFrame:
-    """Mixtures (block, size, parts) from rows with block, size, k, r (weighted) and the features."""
-    by = resp.groupBy("block", "size", "k").agg(F.sum("r").alias("n"), *[F.sum(F.col("r") * F.col(x)).alias(x) for x in _XS], F.sum(F.col("r") * _squares()).alias("q")).where("n > 1e-6")
-    mean = [(F.col(x) / F.col("n")).alias(x) for x in _XS]
-    spread = F.greatest(F.lit(0.0), F.col("q") - sum((F.col(x) * F.col(x) for x in _XS[1:]), F.col(_XS[0]) * F.col(_XS[0])) / F.col("n"))
-    var = (spread + PRIOR * DIMENSIONS * floor) / (DIMENSIONS * (F.col("n") + PRIOR))
-    return by.groupBy("block", "size").agg(F.collect_list(F.struct(F.col("k"), F.col("n"), F.array(*mean).alias("m"), F.greatest(var, F.lit(floor)).alias("v"))).alias("parts"))
-
-
-def _densities(rows: DataFrame) -> DataFrame:
-    """Adds ``d``: of each part its number and log of share times density."""
-    x = F.array(*_XS)
-    total = F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["n"])
-    distance = lambda p: F.aggregate(F.zip_with(x, p["m"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-    one = lambda p: F.struct(p["k"].alias("k"), (F.log(p["n"] / total) - 0.5 * distance(p) / p["v"] - 0.5 * DIMENSIONS * F.log(p["v"] * 6.283185307179586)).alias("l"))
-    return rows.withColumn("d", F.transform("parts", one))
-
-
-def _log_sum(d: str) -> Column:
-    top = F.array_max(F.transform(d, lambda p: p["l"]))
-    return top + F.log(F.aggregate(F.transform(d, lambda p: F.exp(p["l"] - top)), F.lit(0.0), lambda a, b: a + b))
-
-
-def mixtures(rows: DataFrame) -> DataFrame:
-    """form, weight, block, k and density of each row of (form, weight, block, features)."""
-    stats = rows.groupBy("block").agg(*[F.expr(f"sum(weight * {x}) / sum(weight)").alias(f"m{x}") for x in _XS], *[F.expr(f"sum(weight * {x} * {x}) / sum(weight)").alias(f"q{x}") for x in _XS], F.sum("weight").alias("n"))
-    spread = {x: F.greatest(F.lit(0.0), F.col(f"q{x}") - F.col(f"m{x}") * F.col(f"m{x}")) for x in _XS}
-    widest = F.array_max(F.array(*[F.struct(spread[x].alias("s"), F.lit(d).alias("d"), F.col(f"m{x}").alias("m")) for d, x in enumerate(_XS)]))
-    stats = stage(stats.select("block", "n", sum(spread.values(), F.lit(0.0)).alias("spread"), widest.alias("widest")), "cluster-blocks")
-    pooled = stats.agg((F.sum(F.col("n") * F.col("spread")) / F.sum("n") / DIMENSIONS).alias("v")).first()["v"]
-    floor = max(1e-3, pooled or 0.0)
-    started = rows.join(stats.drop("n", "spread"), "block").withColumn("z", (F.element_at(F.array(*_XS), F.col("widest.d") + 1) - F.col("widest.m")) / F.sqrt(F.col("widest.s") + 1e-9))
-    sized = started.withColumn("size", F.explode(F.array(*[F.lit(i) for i in range(1, MOST_COMPONENTS + 1)])))
-    k = F.when(F.col("size") == 1, 0).when(F.col("size") == 2, (F.col("z") > 0).cast("int")).otherwise(F.when(F.col("z") < -0.5, 0).when(F.col("z") > 0.5, 2).otherwise(1))
-    models = _maximise(sized.withColumn("k", k).withColumn("r", F.col("weight").cast("double")), floor)
-    for i in range(ROUNDS):
-        scored = _densities(rows.join(models, "block"))
-        each = scored.withColumn("ls", _log_sum("d")).withColumn("p", F.explode("d"))
-        models = _maximise(each.withColumn("k", F.col("p.k")).withColumn("r", F.col("weight") * F.exp(F.col("p.l") - F.col("ls"))), floor)
-        if i == ROUNDS - 1 or i % 2:
-            models = stage(models, "cluster-models")
-    scored = _densities(rows.join(models, "block")).withColumn("ls", _log_sum("d"))
-    likely = scored.groupBy("block", "size").agg(F.sum(F.col("weight") * F.col("ls")).alias("ll"), F.sum("weight").alias("n"), F.first(F.size("parts")).alias("parts"))
-    criterion = -2 * F.col("ll") + F.col("parts") * (DIMENSIONS + 2) * F.log("n")
-    best = likely.groupBy("block").agg(F.min_by("size", F.struct(criterion, "size")).alias("size"))
-    chosen = best.join(models, ["block", "size"])
-    final = _densities(rows.join(chosen, "block")).withColumn("top", F.array_max(F.transform("d", lambda p: F.struct(p["l"].alias("l"), p["k"].alias("k")))))
-    return final.select("form", "weight", "block", F.col("top.k").alias("k"), F.col("top.l").alias("density"))
-
-
-def cluster(df: DataFrame, key: str, text: str) -> DataFrame:
-    """feature_id, cluster_key and density of each record in a cluster of LEAST or more.
-
-    Keys are compared as strings; records without key or words are in no cluster.
-    ``cluster_key`` is the smallest key of the cluster. An empty table gives none.
+    ``h`` records tell the two means apart; beyond TOLD they tell nothing new
+    (records of one wording are no independent witnesses). Components are compared
+    if the heaviest words of one, which make up what it may not share, are common
+    in the other.
     """
-    members, forms = _forms(df.select(key, text), key, text)
-    members, forms = stage(members, "cluster-members"), stage(forms, "cluster-forms")
-    n = float(max(1, forms.agg(F.sum("weight")).first()[0] or 0))
-    terms = stage(_terms(forms, n), "cluster-terms")
-    rows = stage(_features(terms).join(_blocks(terms, n), "form"), "cluster-rows")
-    placed = stage(mixtures(rows), "cluster-placed")
-    placed = _united(placed, terms)
-    # The exact check: what most of a cluster's records say, and who says most of it.
-    cells = placed.join(terms.select("form", "term", "mass"), "form")
-    common, whole = _common(placed, cells)
-    stated = cells.join(common.select("block", "k", "term"), ["block", "k", "term"]).groupBy("block", "k", "form", "density").agg(F.sum("mass").alias("said")).join(whole, ["block", "k"])
-    kept = stated.where(F.col("said") >= STATED * F.col("whole")).select("block", "k", "form", "density")
-    found = members.join(kept, "form")
-    named = found.groupBy("block", "k").agg(F.min("key").alias("cluster_key"), F.count("*").alias("size")).where(F.col("size") >= LEAST)
-    return found.join(named, ["block", "k"]).select(F.col("key").alias("feature_id"), "cluster_key", "size", "density")
-
-
-def _common(placed: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Words (block, k, term, idf) that most records of a component have, and their weight in all."""
-    sizes = placed.groupBy("block", "k").agg(F.sum("weight").alias("n"))
-    common = cells.groupBy("block", "k", "term", "mass").agg(F.sum("weight").alias("c")).join(sizes, ["block", "k"]).where(F.col("c") >= COMMON * F.col("n")).select("block", "k", "term", "mass")
-    return common, common.groupBy("block", "k").agg(F.sum("mass").alias("whole"))
+    common = common.join(stats.where("n >= 2").select("comp"), "comp")
+    first = common.where(F.col("ahead") < 1 - TELLING).select("term", F.col("comp").alias("a"))
+    near = first.join(common.select("term", F.col("comp").alias("b")), "term").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    s = stats.where("n >= 2").select("comp", "n", "mean")
+    met = near.join(s.toDF("a", "na", "ma"), "a").join(s.toDF("b", "nb", "mb"), "b")
+    gap = F.aggregate(F.zip_with("ma", "mb", lambda p, q: (p - q).cast("double") * (p - q)), F.lit(0.0), lambda a, y: a + y)
+    h = F.col("na") * F.col("nb") / (F.col("na") + F.col("nb"))
+    criterion = TOLD * h / (TOLD + h) * gap / WITHIN - (DIMENSIONS + 2) * F.log1p(F.least(F.col("na") + F.col("nb"), F.lit(2 * TOLD)))
+    good = met.withColumn("criterion", criterion).where("criterion < 0")
+    larger = F.when(F.struct("na", "a") > F.struct("nb", "b"), F.col("a")).otherwise(F.col("b"))
+    good = good.select(larger.alias("to"), F.when(larger == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("comp"), "criterion")
+    return good.groupBy("comp").agg(F.min_by("to", F.struct("criterion", "to")).alias("to"))
 
 
 def _united(placed: DataFrame, terms: DataFrame) -> DataFrame:
-    """Components that say the same, of one block or several, under one (block, k).
-
-    A mixture also finds the wordings of one claim, and records of one claim may
-    have chosen different pairs. Components are the same if SAME of the heavier
-    one's common weight is common to both; those that share one of their three
-    rarest common words are compared. Labels spread until none changes.
-    """
-    cells = placed.join(terms.select("form", "term", "mass"), "form")
-    common, whole = (x.withColumn("c", F.concat_ws(" ", "block", "k")).drop("block", "k") for x in _common(placed, cells))
-    common, whole = stage(common, "cluster-common"), stage(whole, "cluster-whole")
-    rare = common.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("mass"), "term"))).where("r <= 3").select("c", "term")  # a component's words
-    met = rare.join(rare.select(F.col("c").alias("d"), "term"), "term").where("c < d").select("c", "d").distinct()
-    shared = met.join(common.select("c", "term", "mass"), "c").join(common.select(F.col("c").alias("d"), "term"), ["d", "term"]).groupBy("c", "d").agg(F.sum("mass").alias("shared"))
-    shared = shared.join(whole, "c").join(whole.select(F.col("c").alias("d"), F.col("whole").alias("whole2")), "d").where(F.col("shared") >= SAME * F.greatest("whole", "whole2"))
-    edges = stage(shared.select("c", "d").unionByName(shared.select(F.col("d").alias("c"), F.col("c").alias("d"))), "cluster-edges")
-    labels = stage(edges.select("c", F.col("c").alias("low")).distinct(), "cluster-labels")
+    """The records with united components. Means and words of a union come from those of its parts, so the records are read once."""
+    stats, sums = stage(_stats(placed), "cluster-stats"), stage(_word_sums(placed, terms), "cluster-words")
+    names = stage(stats.select("comp", F.col("comp").alias("now")), "cluster-names")
     while True:
-        near = edges.join(labels.select(F.col("c").alias("d"), "low"), "d").groupBy("c").agg(F.min("low").alias("near"))
-        after = stage(labels.join(near, "c").select("c", F.least("low", "near").alias("low"), (F.col("near") < F.col("low")).alias("moved")), "cluster-labels")
-        moved = after.where("moved").limit(1).count()
-        labels = after.drop("moved")
-        if not moved:
+        links = stage(_unions(stats, _common(sums, stats)), "cluster-links")
+        if not links.limit(1).count():
             break
-    joined = placed.withColumn("c", F.concat_ws(" ", "block", "k")).join(labels, "c", "left").withColumn("c", F.coalesce("low", "c"))
-    return stage(joined.select("form", "weight", F.col("c").alias("block"), F.lit(0).alias("k"), "density"), "cluster-united")
+        # Links lead to larger components only, so they form trees; pointers are doubled until they reach the roots.
+        while True:
+            further = links.join(links.select(F.col("comp").alias("to"), F.col("to").alias("next")), "to", "left")
+            links = stage(further.select("comp", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("on")), "cluster-links")
+            on = links.where("on").limit(1).count()
+            links = links.drop("on")
+            if not on:
+                break
+        to = links.withColumnRenamed("comp", "now")
+        names = stage(names.join(to, "now", "left").select("comp", F.coalesce("to", "now").alias("now")), "cluster-names")
+        renamed = stats.join(links, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).select("comp", "n", array_to_vector("mean").alias("v"), "q")
+        merged = renamed.groupBy("comp").agg(Summarizer.mean(F.col("v"), F.col("n")).alias("m"), F.sum("n").alias("m_n"), (F.sum(F.col("n") * F.col("q")) / F.sum("n")).alias("q"))
+        stats = stage(merged.select("comp", F.col("m_n").alias("n"), vector_to_array("m", "float32").alias("mean"), "q"), "cluster-stats")
+        sums = stage(sums.join(links, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).groupBy("comp", "term").agg(F.sum("c").alias("c"), F.sum("s").alias("s")), "cluster-words")
+    return placed.select("form", "weight", "x", "comp").join(names, "comp").select("form", "weight", "x", F.col("now").alias("comp"))
+
+
+def cluster(df: DataFrame, key: str, text: str, beside: str | None = None) -> DataFrame:
+    """feature_id, cluster_key, size and density of each record in a cluster of LEAST or more.
+
+    ``beside`` names a second text whose words count BESIDE as much. Keys are
+    compared as strings; records without key, or without a word that LEAST
+    records have, are in no cluster; a null text has no words. ``cluster_key`` is
+    the smallest key of the cluster, ``density`` falls with the distance to its
+    mean. An empty table gives none.
+    """
+    texts = [c for c in (text, beside) if c]
+    members, forms = _forms(df.select(key, *texts), key, text, beside)
+    n = float(max(1, forms.agg(F.sum("weight")).first()[0] or 0))
+    terms = stage(_terms(forms, n), "cluster-terms")
+    raw = stage(_vectors(terms), "cluster-raw")
+    if not raw.limit(1).count():
+        return members.select(F.col("key").alias("feature_id"), F.col("key").alias("cluster_key"), F.lit(0).cast("long").alias("size"), F.lit(0.0).alias("density")).limit(0)
+    # Records without a shared word count for the scales only.
+    vectors = stage(_standardised(raw.where("rare IS NOT NULL"), *_scales(raw)), "cluster-vectors")
+    placed = stage(_components(_layouts(vectors)), "cluster-placed")
+    placed = _settle(placed, terms, n)
+    placed = _settle(_united(placed, terms), terms, n)
+    found = members.join(placed.where(F.col("d") <= FARTHEST).select("form", "comp", "d"), "form")
+    named = found.groupBy("comp").agg(F.min("key").alias("cluster_key"), F.count("*").alias("size")).where(F.col("size") >= LEAST)
+    return found.join(named, "comp").select(F.col("key").alias("feature_id"), "cluster_key", "size", (-F.col("d")).alias("density"))
 
 
 def typical(clustered: DataFrame, most: int = 3) -> DataFrame:

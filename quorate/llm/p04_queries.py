@@ -10,7 +10,7 @@ from quorate.llm.registry import query, table
 
 
 def _clustered(spark: SparkSession, sf: str) -> DataFrame:
-    return clusters.cluster(table(spark, sf, "assignments_hdbscan").select("feature_id", "feature_value"), "feature_id", "feature_value")
+    return clusters.cluster(table(spark, sf, "assignments_hdbscan").select("feature_id", "feature_value", "rationale"), "feature_id", "feature_value", "rationale")
 
 
 @query("p4_found")

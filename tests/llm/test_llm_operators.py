@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +147,29 @@ def test_clusters_of_long_records(spark):
     assert rows(got.select("feature_id", "cluster_key")) == [(f"c{i}", "c0") for i in range(4)]
 
 
+def test_the_criterion_chooses_the_components():
+    rng = np.random.default_rng(4)
+    means = rng.normal(size=(5, 64))
+    x = np.concatenate([m + 0.3 * rng.normal(size=(20, 64)) for m in means])
+    labels = clusters.divide(x, np.ones(len(x)))
+    assert len(set(labels)) == 5 and all(len(set(labels[i : i + 20])) == 1 for i in range(0, 100, 20))
+    assert set(clusters.divide(x[:20], np.ones(20))) == {0}
+
+
+def test_clusters_do_not_depend_on_the_layout(spark, monkeypatch):
+    rng = random.Random(6)
+    data = []
+    for c in range(6):
+        words = [f"word{c}x{j}" for j in range(6)]
+        data += [(f"f{len(data) + i:03d}", " ".join(rng.sample(words, 5)), " ".join(words) if i % 2 else None) for i in range(9)]
+    data += [(f"n{i:03d}", f"odd{i} remark{i} upon{i}", None) for i in range(20)]
+    d = spark.createDataFrame(data, "id string, text string, more string")
+    whole = rows(clusters.cluster(d, "id", "text", "more").select("feature_id", "cluster_key"))
+    assert len(whole) == 54 and len({k for _, k in whole}) == 6
+    monkeypatch.setattr(clusters, "LAYOUT", 5)
+    assert rows(clusters.cluster(d, "id", "text", "more").select("feature_id", "cluster_key")) == whole
+
+
 # 5: pairs
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorate.llm.lookalike import Rewriter, frequencies, rewriter_of
+from quorate.llm.shared import Shared
 
 CLASSES = ("none", "abusive", "hateful", "sexual")
 #: Bounds of the labelled sample that the classifier is fitted on, by label; chosen by random key.
@@ -348,9 +349,6 @@ def labelled_sample(labels: DataFrame, texts: DataFrame, key: str, text: str, se
     return [r["t"] for r in rows], [CLASSES.index(r["__class"]) for r in rows], weight
 
 
-_LOADED: dict[int, Classifier] = {}
-
-
 def score(df: DataFrame, text: str, model: Classifier | None, counts: Mapping[str, int]) -> DataFrame:
     """``df`` with ``p_abusive``, ``p_hateful``, ``p_sexual`` and ``p_bad`` (their sum) in place of ``text``.
 
@@ -359,18 +357,16 @@ def score(df: DataFrame, text: str, model: Classifier | None, counts: Mapping[st
     names = [*(f"p_{c}" for c in CLASSES[1:]), "p_bad"]
     rest = [f for f in df.schema.fields if f.name != text]
     sc = df.sparkSession.sparkContext
-    shared = sc.broadcast(None if model is None else (model.logit, model.bias))
-    plainly = sc.broadcast(dict(counts))
+    shared = None if model is None else Shared(sc, (model.logit, model.bias))
+    plainly = Shared(sc, dict(counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if shared.value is not None and id(shared.value) not in _LOADED:
-            _LOADED[id(shared.value)] = Classifier(*shared.value)
         for batch in batches:
             last = batch.num_columns - 1
             p = np.zeros((batch.num_rows, 4))
             p[:, 0] = 1
-            if shared.value is not None:
-                p = _LOADED[id(shared.value)].scores(batch.column(last).to_pylist(), rewriter_of(plainly))
+            if shared is not None:
+                p = shared.model("classifier", lambda v: Classifier(*v)).scores(batch.column(last).to_pylist(), rewriter_of(plainly))
             columns = [pa.array(p[:, k].astype(np.float64)) for k in (1, 2, 3)] + [pa.array(1 - p[:, 0])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:last], *columns], names=[*[f.name for f in rest], *names])
 

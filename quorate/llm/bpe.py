@@ -16,6 +16,7 @@ Cost is linear in the word times the longest token, whatever the word's length.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterable, Iterator
 
@@ -25,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quorate.llm.shared import Shared
+
 #: Fixed value: the public pre-split pattern of the byte_bpe_50k vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -168,21 +171,17 @@ class Automaton:
         return b"".join(self.text_of[i] for i in ids).decode("utf-8", "replace")
 
 
-_LOADED: dict[int, Automaton] = {}
-
-
-def _automaton(shared) -> Automaton:
+def _automaton(shared: Shared) -> Automaton:
     """One automaton per Python worker and vocabulary."""
-    key = hash(shared.value[:4096]) ^ len(shared.value)
-    if key not in _LOADED:
-        _LOADED[key] = Automaton(shared.value)
-    return _LOADED[key]
+    return shared.model("automaton", Automaton)
 
 
 def _share(df: DataFrame, vocabulary: str):
     """The vocabulary file (under 2 MB whatever the data) as a broadcast."""
     with open(vocabulary, "rb") as f:
-        return df.sparkSession.sparkContext.broadcast(f.read())
+        data = f.read()
+    # By its content, so that what a worker has settled of the automaton serves later queries too.
+    return Shared(df.sparkSession.sparkContext, data, hashlib.sha256(data).hexdigest())
 
 
 def encode(df: DataFrame, key: str, text: str, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:

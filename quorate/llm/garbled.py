@@ -22,8 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Size bound of the broadcast model: this many of the most frequent pairs; rarer ones fall back on their characters.
-MOST_PAIRS = 400_000
+from quorate.llm.shared import Shared
+
+#: Counters of adjacent pairs. A counter holds the sum of the pairs that are hashed to it, so every pair
+#: counts and the broadcast model has at most 12 bytes for each counter, however large the corpus.
+COUNTERS = 1 << 24
 #: Weight of the characters' own frequencies beside the pairs'.
 BACKOFF = 20.0
 #: Bits of improbability from which on a character counts for a run.
@@ -115,58 +118,97 @@ def from_other(run: str, wrong: str, right: str) -> str | None:
         return None
 
 
+def counter(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The counters of pairs of code points."""
+    x = first.astype(np.uint64) << np.uint64(21) | second.astype(np.uint64)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ x >> np.uint64(31)) & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 class Model:
     """Probabilities of characters and of adjacent pairs."""
 
-    def __init__(self, pairs: dict[int, int], singles: dict[int, int]):
-        self.pairs, self.singles = pairs, singles
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, singles: dict[int, int]):
+        self.keys, self.counts = keys, np.append(counts, 0)  # the last one serves pairs without a counter
         self.total = max(1, sum(singles.values()))
-        self.kinds = len(singles) + 1
+        kinds = len(singles) + 1
+        dense = np.zeros(0x110000, np.float64)
+        dense[list(singles)] = list(singles.values())
+        self.single = dense
+        self.own = (dense + 0.5) / (self.total + 0.5 * kinds)
         self.windows: dict[tuple[str, str, str], list[tuple[int, str, float]]] = {}
-        self._seen: dict[tuple[str, str], tuple[float, float]] = {}
-
-    def pair(self, a: str, b: str) -> tuple[float, float]:
-        """Natural log of P(b | a), and bits of improbability of b beside a."""
-        known = self._seen.get((a, b))
-        if known is None:
-            x, y = ord(a) if a else 0, ord(b)
-            own = (self.singles.get(y, 0) + 0.5) / (self.total + 0.5 * self.kinds)
-            joint = (self.pairs.get(x << 21 | y, 0) + BACKOFF * own) / (self.singles.get(x, 0) + BACKOFF)
-            # -(information + 2 log P(b)) / 2, with information = log P(b | a) - log P(b).
-            information = math.log2(joint / own)
-            known = self._seen[a, b] = math.log(joint), -(information + 2 * math.log2(own)) / 2
-            if len(self._seen) > 2_000_000:
-                self._seen.clear()
-        return known
+        self.mapped: dict[str, list[tuple[int, str, float]]] = {}
+        self._seen: dict[tuple[int, int], float] = {}
+
+    def joint(self, codes: np.ndarray) -> np.ndarray:
+        """P(character | the one before) of each character; the first one follows a text's beginning."""
+        before = np.concatenate([np.zeros(1, np.uint32), codes[:-1]])
+        slots = counter(before, codes)
+        at = np.searchsorted(self.keys, slots)
+        at[at == len(self.keys)] = 0
+        both = self.counts[np.where(self.keys[at] == slots, at, len(self.keys))] if len(self.keys) else np.zeros(len(codes))
+        return (both + BACKOFF * self.own[codes]) / (self.single[before] + BACKOFF)
+
+    def improbability(self, text: str) -> np.ndarray:
+        """Bits of improbability of each character beside the one before.
+
+        That is -(information + 2 log P(b)) / 2 with information = log P(b | a) - log P(b).
+        """
+        codes = _codes(text)
+        return -(np.log2(self.joint(codes)) + np.log2(self.own[codes])) / 2
 
     def likelihood(self, text: str) -> float:
-        total, a = 0.0, ""
-        for b in text:
-            total += self.pair(a, b)[0]
+        total, a = 0.0, 0
+        for c in text:
+            b = ord(c)
+            known = self._seen.get((a, b))
+            if known is None:
+                if len(self._seen) > 1_000_000:  # a memory of settled pairs; it is filled again
+                    self._seen.clear()
+                known = self._seen[a, b] = math.log(self.joint(np.array([a, b], np.uint32))[1])
+            total += known
             a = b
         return total
 
 
-def runs(text: str, model: Model) -> list[tuple[int, int]]:
-    """Maximum-scoring segments of improbability, in linear time; those of plain ASCII are left out."""
-    a, total = "", 0.0
-    segments: list[list[float]] = []  # [begin, end, total before, total after]
-    for i, b in enumerate(text):
-        score = model.pair(a, b)[1] - USUAL_BITS
-        a, before, total = b, total, total + score
-        if score <= 0:
+def segments(scores: np.ndarray) -> list[tuple[int, int]]:
+    """All maximum-scoring segments (begin, end), in linear time.
+
+    Each candidate remembers the last candidate before it that begins at a lower
+    running total, so no candidate is passed over twice.
+    """
+    if not len(scores):
+        return []
+    # Neighbours of one sign are taken together.
+    starts = np.flatnonzero(np.diff(scores > 0, prepend=not scores[0] > 0))
+    ends = np.append(starts[1:], len(scores))
+    totals = np.cumsum(scores)
+    found: list[tuple[int, int, float, float, int]] = []  # begin, end, total before, total after, link
+    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+        if scores[s] <= 0:
             continue
-        now = [i, i + 1, before, total]
+        begin, left, right = s, float(totals[s - 1]) if s else 0.0, float(totals[e - 1])
+        j = len(found) - 1
         while True:
-            j = len(segments) - 1
-            while j >= 0 and segments[j][2] >= now[2]:
-                j -= 1
-            if j < 0 or segments[j][3] >= now[3]:
+            while j >= 0 and found[j][2] >= left:
+                j = found[j][4]
+            if j < 0 or found[j][3] >= right:
                 break
-            now = [segments[j][0], now[1], segments[j][2], now[3]]
-            del segments[j:]
-        segments.append(now)
-    return [(int(s), int(e)) for s, e, *_ in segments if not text[int(s) : int(e)].isascii()]
+            begin, left, link = found[j][0], found[j][2], found[j][4]
+            del found[j:]
+            j = link
+        found.append((begin, e, left, right, j))
+    return [(s, e) for s, e, *_ in found]
+
+
+def runs(text: str, model: Model) -> list[tuple[int, int]]:
+    """Maximum-scoring segments of improbability; those of plain ASCII are left out."""
+    return [(s, e) for s, e in segments(model.improbability(text) - USUAL_BITS) if not text[s:e].isascii()]
 
 
 def _windows(text: str, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -191,23 +233,42 @@ def _mappings() -> tuple[tuple[str, str], ...]:
     return (*((w, "utf-8") for w in OVER_UTF8), *other_pairs())
 
 
-def _options(window: tuple[str, str, str], model: Model) -> list[tuple[int, str, float]]:
-    """What each mapping makes of a window, where that differs: (mapping, new text, gain)."""
-    known = model.windows.get(window)
-    if known is not None:
-        return known
-    before, run, after = window
-    was = model.likelihood(before + run + after)
-    made: dict[str, float] = {}
+def _mapped(run: str) -> list[tuple[int, str, float]]:
+    """What each mapping makes of a run, where that differs: (mapping, new text, evidence of its own)."""
     found = []
+    signs = {c for c in run if c >= "\x80"}
     for i, (wrong, right) in enumerate(_mappings()):
         if right == "utf-8":
+            if signs.isdisjoint(byte_table(wrong)):
+                continue
             new, n = from_utf8(run, wrong)
             bonus = VALID_UTF8 * n
-        else:
+        elif wrong in EASTERN or signs <= byte_table(wrong).keys():
             new, bonus = from_other(run, wrong, right), 0.0
-        if new is None or new == run or (REPLACEMENT in new and right != "utf-8"):
+        else:
             continue
+        if new is not None and new != run and (REPLACEMENT not in new or right == "utf-8"):
+            found.append((i, new, bonus))
+    return found
+
+
+def _options(window: tuple[str, str, str], model: Model) -> list[tuple[int, str, float]]:
+    """What each mapping makes of a window, and how much likelier that is: (mapping, new text, gain)."""
+    known = model.windows.get(window)
+    if known is not None:
+        return known
+    before, run, after = window
+    mapped = model.mapped.get(run)
+    if mapped is None:
+        mapped = _mapped(run)
+        if len(run) <= 16:
+            if len(model.mapped) > 100_000:
+                model.mapped.clear()
+            model.mapped[run] = mapped
+    made: dict[str, float] = {}
+    found = []
+    was = model.likelihood(before + run + after) if mapped else 0.0
+    for i, new, bonus in mapped:
         if new not in made:
             made[new] = model.likelihood(before + new + after) - was
         found.append((i, new, made[new] + bonus))
@@ -249,41 +310,42 @@ def restore(text: str, model: Model) -> tuple[bool, str | None]:
         plain = ENTITY.sub(lambda m: chr(int(m.group(2), 16 if m.group(1) else 10)) if 0x80 <= int(m.group(2), 16 if m.group(1) else 10) <= 0xFF else m.group(), now)
         if from_utf8(plain, "latin-1")[1] and e:
             garbled, now = True, plain
-    for _ in range(4):
-        after = _once(now, model)
-        if after is None or after == now:
-            break
+    seen = {now}
+    while (after := _once(now, model)) is not None and after not in seen:  # until nothing is gained
         garbled, now = True, after
+        seen.add(now)
     if REPLACEMENT in now:
         return True, None
     return garbled, now if garbled else None
 
 
-def learn(df: DataFrame, text: str) -> tuple[dict[int, int], dict[int, int]]:
-    """Counts of adjacent pairs and of characters over all texts.
+def learn(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
+    """Counters of adjacent pairs (sorted, with their sums) and counts of characters over all texts.
 
-    Partial counts leave Python per batch and are added up before they are
-    collected: at most MOST_PAIRS pairs and one row per code point.
+    Partial sums leave Python per task; at most COUNTERS rows and one per code
+    point are collected.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, singles = np.zeros(COUNTERS, np.int32), np.zeros(0x110000, np.int64)
         for batch in batches:
             joined = "\0".join(t for t in batch.column(0).to_pylist() if t)
-            if not joined:
-                continue
-            codes = np.frombuffer(("\0" + joined).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-            keys, n = np.unique(codes[:-1] << 21 | codes[1:], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["pair", "n"])
-
-    parts = df.where(F.col(text).isNotNull()).select(F.col(text).alias("__text")).mapInArrow(count, "pair long, n long")
-    pairs = parts.groupBy("pair").agg(F.sum("n").alias("n")).cache()
-    singles = {int(r["c"]): int(r["n"]) for r in pairs.groupBy(F.col("pair").bitwiseAND(F.lit((1 << 21) - 1)).alias("c")).agg(F.sum("n").alias("n")).collect()}
-    top = pairs.where("n > 1").orderBy(F.desc("n"), "pair").limit(MOST_PAIRS).toPandas()
-    pairs.unpersist()
-    return dict(zip(top["pair"].tolist(), top["n"].tolist(), strict=True)), singles
-
-
-_LOADED: dict[int, Model] = {}
+            if joined:
+                codes = _codes("\0" + joined)
+                slots, n = np.unique(counter(codes[:-1], codes[1:]), return_counts=True)
+                pairs[slots] += n.astype(np.int32)
+                singles += np.bincount(codes[1:], minlength=len(singles))
+        for kind, held in ((0, pairs), (1, singles)):
+            there = np.flatnonzero(held)
+            for i in range(0, len(there), 100_000):
+                part = there[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind)), pa.array(part), pa.array(held[part].astype(np.int64))], names=["kind", "key", "n"])
+
+    parts = df.where(F.col(text).isNotNull()).select(F.col(text).alias("__text")).mapInArrow(count, "kind long, key long, n long")
+    # A pair that was seen once was seen in the text that it is to judge.
+    counted = parts.groupBy("kind", "key").agg(F.sum("n").alias("n")).where("kind = 1 OR n > 1").toPandas()
+    pairs, singles = counted[counted["kind"] == 0].sort_values("key"), counted[counted["kind"] == 1]
+    return pairs["key"].to_numpy(np.int64), pairs["n"].to_numpy(np.float32), {int(c): int(n) for c, n in zip(singles["key"], singles["n"], strict=True)}
 
 
 def find(df: DataFrame, text: str) -> DataFrame:
@@ -292,15 +354,11 @@ def find(df: DataFrame, text: str) -> DataFrame:
     The model is learnt from all rows of ``df``. Rows and other columns are
     kept; ASCII texts without byte entities stay in the JVM.
     """
-    pairs, singles = learn(df, text)
-    shared = df.sparkSession.sparkContext.broadcast((pairs, singles))
+    shared = Shared(df.sparkSession.sparkContext, learn(df, text))
 
     @F.pandas_udf("garbled boolean, restored string")
     def look(batch: pd.Series) -> pd.DataFrame:
-        key = id(shared.value)
-        if key not in _LOADED:
-            _LOADED[key] = Model(*shared.value)
-        model = _LOADED[key]
+        model = shared.model("garbled", lambda v: Model(*v))
         rows = [(False, None) if t is None else restore(t, model) for t in batch]
         return pd.DataFrame(rows, columns=["garbled", "restored"])
 

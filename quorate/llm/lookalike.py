@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quorate.llm.shared import Shared
+
 #: Letters of other alphabets and phonetic letters beside the Latin letter they look like.
 LIKE_LATIN = {
     "a": "аɑα", "b": "Ьƅ", "c": "сϲᴄ", "d": "ԁɗ", "e": "еҽ", "f": "ғ", "g": "ɡց", "h": "һհ", "i": "іıɩιɪ", "j": "јϳ", "k": "кκᴋ", "l": "ӏǀ",
@@ -245,16 +247,15 @@ class Rewriter:
             return text
         if suspect <= EMOJI_TASKS:
             return INVISIBLE.sub(lambda m: m.group() if has_task(m.string, m.start()) else "", text)
-        for _ in range(4):
-            before = text
+        seen: set[str] = set()
+        while text not in seen:  # until nothing changes
+            seen.add(text)
             text = INVISIBLE.sub(lambda m: m.group() if has_task(m.string, m.start()) else "", text)
             home = set() if suspect.isdisjoint(WIDE_FORMS) else {m.start() for m in WIDE_FORM.finditer(text) if WIDE_SCRIPT.match(_near(text, m.start(), -1, WIDE_FORM)) or WIDE_SCRIPT.match(_near(text, m.start(), 1, WIDE_FORM))}
             if not self._forms.isdisjoint(text):
                 text = self._greedy(self._plain, text, home)
             if FOREIGN.search(text):
                 text = self._words(text)
-            if text == before:
-                break
         return text
 
 
@@ -264,15 +265,9 @@ def default_rewriter() -> Rewriter:
     return Rewriter()
 
 
-_LOADED: dict[int, Rewriter] = {}
-
-
-def rewriter_of(shared) -> Rewriter:
+def rewriter_of(shared: Shared) -> Rewriter:
     """One rewriter per Python worker and corpus, from broadcast frequencies."""
-    key = hash(frozenset(shared.value.items()))
-    if key not in _LOADED:
-        _LOADED[key] = Rewriter(shared.value)
-    return _LOADED[key]
+    return shared.model("rewriter", Rewriter)
 
 
 def frequencies(df: DataFrame, text: str) -> dict[str, int]:
@@ -298,7 +293,7 @@ def unify(df: DataFrame, text: str, name: str = "plain_text", counts: Mapping[st
     JVM's columns. All columns and rows are kept; a column called ``name`` is replaced.
     """
     counts = frequencies(df, text) if counts is None else counts
-    shared = df.sparkSession.sparkContext.broadcast(dict(counts))
+    shared = Shared(df.sparkSession.sparkContext, dict(counts))
 
     @F.pandas_udf(T.StringType())
     def rewrite(batch):

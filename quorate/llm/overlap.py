@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quorate.llm.lookalike import Rewriter, frequencies, rewriter_of
+from quorate.llm.shared import Shared
 from quorate.staging import stage
 
 COSINE = 0.35
@@ -68,7 +69,7 @@ def classes(df: DataFrame, key: str, text: str, counts: Mapping[str, int] | None
     A text without words is its own normalised form. Null texts drop out.
     """
     counts = frequencies(df, text) if counts is None else counts
-    shared = df.sparkSession.sparkContext.broadcast(dict(counts))
+    shared = Shared(df.sparkSession.sparkContext, dict(counts))
 
     @F.pandas_udf(T.StringType())
     def normal(batch: pd.Series) -> pd.Series:

@@ -7,17 +7,10 @@ from pyspark.sql import functions as F
 
 from quorate.functions.keys import folded, usable
 from quorate.llm import abuse
-from quorate.llm.lookalike import frequencies, rewriter_of
+from quorate.llm.lookalike import Rewriter, frequencies
 from quorate.llm.registry import query, table
 
 
-class _Held:
-    """A value in the shape of a broadcast, on the driver."""
-
-    def __init__(self, value: dict[str, int]):
-        self.value = value
-
-
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     """table_name, record_key, source and the scores of every text."""
     comments = table(spark, sf, "comments")
@@ -27,7 +20,7 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
     counts = frequencies(texts, "text")
     labels = table(spark, sf, "toxicity_labels").withColumnRenamed("comment_id", "id")
     sample, classes, weight = abuse.labelled_sample(labels, comments.select("id", "body"), "id", "body")
-    model = abuse.fit(sample, classes, rewriter_of(_Held(counts)), weight)
+    model = abuse.fit(sample, classes, Rewriter(counts), weight)
     return abuse.score(texts, "text", model, counts)
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorate.llm.lookalike import Rewriter, frequencies, rewriter_of
+from quorate.llm.shared import Shared
 from quorate.staging import stage
 
 #: Placeholders for no content.
@@ -359,7 +360,7 @@ def learn_endings(df: DataFrame, columns: list[str], counts: Mapping[str, int],
 
     Those seen fewer than ``least`` times tell nothing and stay behind.
     """
-    shared = df.sparkSession.sparkContext.broadcast(dict(counts))
+    shared = Shared(df.sparkSession.sparkContext, dict(counts))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = rewriter_of(shared)
@@ -430,7 +431,7 @@ def defects(df: DataFrame, key: str, original: str, response: str) -> DataFrame:
     """
     rows = df.select(F.col(key).alias("key"), F.col(original).alias("a"), F.col(response).alias("b"))
     counts = frequencies(rows.select(F.concat_ws(" ", "a", "b").alias("t")), "t")
-    shared = df.sparkSession.sparkContext.broadcast(dict(counts))
+    shared = Shared(df.sparkSession.sparkContext, dict(counts))
 
     @F.pandas_udf("defect string, words array<string>")
     def judge(a: pd.Series, b: pd.Series) -> pd.DataFrame:

@@ -314,3 +314,19 @@ def test_garbled_round_trip(spark):
     assert {i for i, (g, _) in got.items() if g} == {1000, 1001, 1002, 1003, 1004}
     assert all(got[i][1] == want for i, _, want in broken) and got[1004][1] == proper[2]
     assert garbled.find(d.limit(0), "text").count() == 0
+
+
+def test_segments_are_those_of_the_definition():
+    def slow(s, lo, hi):
+        # The best segment, then those on both sides of it.
+        best = max(((sum(s[i:j]), -(j - i), -i, i, j) for i in range(lo, hi) for j in range(i + 1, hi + 1)), default=None)
+        if best is None or best[0] <= 1e-9:
+            return []
+        return [*slow(s, lo, best[3]), (best[3], best[4]), *slow(s, best[4], hi)]
+
+    rng = random.Random(10)
+    for _ in range(60):
+        s = [rng.choice([-3.1, -1.3, -0.7, 0.9, 1.1, 2.3]) + rng.random() / 100 for _ in range(rng.randint(0, 14))]
+        assert garbled.segments(np.array(s)) == slow(s, 0, len(s))
+    saw = np.tile([1.0, -1.0 + 1e-6], 200_000) - 1e-7 * np.arange(400_000)
+    assert len(garbled.segments(saw)) > 0

@@ -12,7 +12,8 @@ from quorate.llm.registry import query, table
 @query("p5_found")
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Each defective flip with its defect."""
-    return pairs.defects(table(spark, sf, "flips"), "flip_id", "original_text", "flipped_text").distinct()
+    labelled = table(spark, sf, "documents").select("text", "lang"), "text", "lang"
+    return pairs.defects(table(spark, sf, "flips"), "flip_id", "original_text", "flipped_text", labelled).distinct()
 
 
 @query("p5_counts")

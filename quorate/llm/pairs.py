@@ -4,7 +4,8 @@
   and markup finds what is left open; the last word is held against how often
   the corpus ends a sentence with it, and against words it is cut from;
 * copies: greedy string tiling of the words of prompt and response;
-* language: scripts, and function words of the languages in Latin letters;
+* language: scripts, and trigram profiles learnt from labelled texts (function
+  words where there are none);
 * refusals: a grammar of openers, subjects, negated modals and task verbs.
 """
 
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorate.llm.lookalike import Rewriter, frequencies, rewriter_of
+from quorate.llm.profiles import Profiles, learn
 from quorate.llm.shared import Shared
 from quorate.staging import stage
 
@@ -74,34 +76,80 @@ def language(text: str) -> str | None:
     return order[0]
 
 
+class Runs:
+    """Suffix automaton of a word sequence: the longest run that ends at each place of another one."""
+
+    def __init__(self, words: list[str | int]):
+        self.next: list[dict] = [{}]
+        self.link, self.length, self.end = [-1], [0], [0]
+        last = 0
+        for i, w in enumerate(words):
+            here = len(self.next)
+            self.next.append({})
+            self.length.append(self.length[last] + 1)
+            self.link.append(0)
+            self.end.append(i)
+            p = last
+            while p >= 0 and w not in self.next[p]:
+                self.next[p][w] = here
+                p = self.link[p]
+            if p >= 0:
+                q = self.next[p][w]
+                if self.length[p] + 1 == self.length[q]:
+                    self.link[here] = q
+                else:
+                    twin = len(self.next)
+                    self.next.append(dict(self.next[q]))
+                    self.length.append(self.length[p] + 1)
+                    self.link.append(self.link[q])
+                    self.end.append(self.end[q])
+                    while p >= 0 and self.next[p].get(w) == q:
+                        self.next[p][w] = twin
+                        p = self.link[p]
+                    self.link[q] = self.link[here] = twin
+            last = here
+
+    def ending(self, words: list[str | int]) -> Iterator[tuple[int, int, int]]:
+        """(length, end here, end there) of the longest run that ends at each place."""
+        state = n = 0
+        for i, w in enumerate(words):
+            while state and w not in self.next[state]:
+                state = self.link[state]
+                n = self.length[state]
+            if w in self.next[state]:
+                state = self.next[state][w]
+                n += 1
+            else:
+                n = 0
+            yield n, i, self.end[state]
+
+
 def tiled(a: list[str], b: list[str], shortest: int = 3) -> int:
-    """Words of ``a`` covered by greedy tiles of ``b``: longest common runs first, each word used once."""
-    free_a, free_b = [True] * len(a), [True] * len(b)
+    """Words of ``a`` covered by greedy tiles of ``b``: longest common runs first, each word used once.
+
+    A round lays all tiles of at least half the longest run, longest first, and
+    takes their words out; rounds go on until no run is long enough. A round is
+    linear, and the longest run of the next one is shorter by half or was barred
+    by a tile, so repetitive texts need few rounds.
+    """
+    a, b = list(a), list(b)
     covered = 0
-    where: dict[tuple[str, ...], list[int]] = {}
-    for j in range(len(b) - shortest + 1):
-        where.setdefault(tuple(b[j : j + shortest]), []).append(j)
     while True:
-        best: list[tuple[int, int]] = []
-        longest = shortest - 1
-        i = 0
-        while i <= len(a) - shortest:
-            for j in where.get(tuple(a[i : i + shortest]), ()):
-                k = 0
-                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and free_a[i + k] and free_b[j + k]:
-                    k += 1
-                if k > longest:
-                    longest, best = k, [(i, j)]
-                elif k == longest and k >= shortest:
-                    best.append((i, j))
-            i += 1
-        if longest < shortest:
+        found = sorted((t for t in Runs(b).ending(a) if t[0] >= shortest), reverse=True)
+        if not found:
             return covered
-        for i, j in best:
-            if all(free_a[i : i + longest]) and all(free_b[j : j + longest]):
-                free_a[i : i + longest] = [False] * longest
-                free_b[j : j + longest] = [False] * longest
-                covered += longest
+        used_a, used_b = [False] * len(a), [False] * len(b)
+        longest = found[0][0]
+        for n, i, j in found:
+            if 2 * n < longest:
+                break
+            if used_a[i] or used_b[j] or used_a[i - n + 1] or used_b[j - n + 1] or any(used_a[i - n + 1 : i + 1]) or any(used_b[j - n + 1 : j + 1]):
+                continue
+            used_a[i - n + 1 : i + 1] = used_b[j - n + 1 : j + 1] = [True] * n
+            covered += n
+        # Tiles become marks that match nothing: numbers of their side.
+        a = [-1 if u else w for w, u in zip(a, used_a, strict=True)]
+        b = [-2 if u else w for w, u in zip(b, used_b, strict=True)]
 
 
 PAIRED = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "「": "」", "『": "』", "„": "“", "（": "）", "【": "】"}
@@ -115,7 +163,8 @@ def left_open(text: str) -> list[str]:
 
     Fences and inline code hide what they hold; straight double quotes open at
     a word's beginning and close at its end; a closing sign pops what was opened
-    last of its kind, and one without opening is ignored.
+    last of its kind, and one without opening is ignored. A bracket that is part
+    of a face, and a backtick within a word, open nothing.
     """
     stack: list[str] = []
     i = 0
@@ -134,19 +183,20 @@ def left_open(text: str) -> list[str]:
         if c == "`":
             if stack and stack[-1] == "`":
                 stack.pop()
-            else:
+            elif not (i and text[i - 1].isalnum()):
                 stack.append("`")
         elif stack and stack[-1] == "`":
             pass
         elif c == '"':
             if '"' in stack:
                 del stack[len(stack) - 1 - stack[::-1].index('"') :]
-            else:
+            elif not (i and text[i - 1].isalnum()) and i + 1 < len(text) and not text[i + 1].isspace():
                 stack.append('"')
         elif c == "“" and stack and stack[-1] == "„":
             stack.pop()
         elif c in PAIRED:
-            stack.append(c)
+            if not (c in "([{" and i and text[i - 1] in ":;=-"):
+                stack.append(c)
         elif c in CLOSERS:
             for k in range(len(stack) - 1, -1, -1):
                 if PAIRED.get(stack[k]) == c:
@@ -265,10 +315,17 @@ REFUSALS = [
 ]
 
 
+#: What every refusal has somewhere.
+HINT = regex.compile(
+    r"can't|cannot|can not|could|won't|will not|wo n't|would|must|have to|do not|don't|am not|'m not|are not|'re not|\bun(?:able|willing|comfortable)|declin|refus|'d (?:rather|prefer)|might|\bno\b|is(?: not|n't) something|denied|blocked|rejected|withheld|filtered|removed|policy|not possible|against|violat|breach|conflict|no puedo|no podemos|posible|no voy|je ne|nicht|não|nie mogę|не могу|申し訳|できません|対応",
+    regex.I,
+)
+
+
 def is_refusal(text: str) -> bool:
-    """Whether the text declines the task in its first sentences."""
+    """Whether the text declines the task."""
     head = " ".join(text.replace("’", "'").split())
-    return any(p.search(head) for p in REFUSALS)
+    return HINT.search(head) is not None and any(p.search(head) for p in REFUSALS)
 
 
 def is_empty(text: str | None) -> bool:
@@ -288,6 +345,10 @@ def is_copy(original: str, response: str) -> bool:
         return bool(original.strip()) and original.strip() == response.strip()
     if len(a) < 6:
         return a == b
+    # Tiles cannot cover more than the words that both have.
+    both = sum((Counter(a) & Counter(b)).values())
+    if both < 0.75 * len(a) or both < 0.6 * len(b):
+        return False
     n = tiled(a, b, 2)
     return n >= 0.75 * len(a) and n >= 0.6 * len(b)
 
@@ -301,8 +362,8 @@ def unfinished(text: str) -> bool | list[str]:
     body = TAIL.sub("", text.rstrip())
     if not body:
         return False
-    opened = left_open(body)
-    if "```" in opened or any(o.startswith("<") for o in opened) or (opened and opened[0] in "{[" and body[0] == opened[0]):
+    # What is open at the end was broken off within it.
+    if left_open(body):
         return True
     last = body[-1]
     if last in OPEN_ENDS and not (last in "-–—" and body != text.rstrip()) and not regex.search(r"[:;]-?[-)(]$", body):
@@ -318,7 +379,7 @@ def unfinished(text: str) -> bool | list[str]:
     if len(words[-1]) == 1 and SCRIPTS["han"].match(words[-1]) is None and SCRIPTS["japanese"].match(words[-1]) is None and len(words) > 1 and len(words[-2]) == 1:
         return False  # spaced-out letters
     if any(SCRIPTS[s].match(words[-1]) for s in ("han", "japanese", "thai")):
-        return bool(opened) or words[-1:]
+        return words[-1:]
     return words
 
 
@@ -329,7 +390,15 @@ def is_truncated(text: str, endings: Endings) -> bool:
     return found if isinstance(found, bool) else endings.broken(found[-1]) and endings.in_order(found)
 
 
-def settled(original: str | None, response: str | None, plain: Rewriter) -> tuple[str | None, list[str] | None]:
+def other_language(source: str, text: str, profiles: Profiles | None) -> bool:
+    """Whether the text is mainly in another language than the source."""
+    if profiles is not None:
+        return profiles.differ(LINK.sub(" ", source), LINK.sub(" ", text))
+    a, b = language(source), language(text)
+    return a is not None and b is not None and a != b
+
+
+def settled(original: str | None, response: str | None, plain: Rewriter, profiles: Profiles | None = None) -> tuple[str | None, list[str] | None]:
     """The one defect of a pair if the pair alone tells it; else the words whose last one can still tell, or None."""
     text = None if response is None else plain(response)
     if is_empty(text):
@@ -340,8 +409,7 @@ def settled(original: str | None, response: str | None, plain: Rewriter) -> tupl
         source = plain(original)
         if is_copy(source, text):
             return "copy", None
-        a, b = language(source), language(text)
-        if a is not None and b is not None and a != b:
+        if other_language(source, text, profiles):
             return "other_language", None
     found = unfinished(text)
     if isinstance(found, bool):
@@ -422,9 +490,12 @@ def broken_off(texts: DataFrame, counted: DataFrame) -> DataFrame:
     return broken.join(shuffled, "row", "left_anti")
 
 
-def defects(df: DataFrame, key: str, original: str, response: str) -> DataFrame:
+def defects(df: DataFrame, key: str, original: str, response: str, labelled: tuple[DataFrame, str, str] | None = None) -> DataFrame:
     """``key`` and ``defect`` of every defective pair.
 
+    ``labelled`` is a table with its text and language columns; the language
+    profiles are learnt from all of it. Without it scripts and function words tell languages.
+
     A null response is empty; a null original cannot be copied and has no
     language. A null key stays null; repeated rows are judged one by one. An
     empty table gives no rows.
@@ -433,10 +504,13 @@ def defects(df: DataFrame, key: str, original: str, response: str) -> DataFrame:
     counts = frequencies(rows.select(F.concat_ws(" ", "a", "b").alias("t")), "t")
     shared = Shared(df.sparkSession.sparkContext, dict(counts))
 
+    profiled = None if labelled is None else Shared(df.sparkSession.sparkContext, learn(*labelled))
+
     @F.pandas_udf("defect string, words array<string>")
     def judge(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         plain = rewriter_of(shared)
-        return pd.DataFrame([settled(x, y, plain) for x, y in zip(a, b, strict=True)], columns=["defect", "words"], dtype=object)
+        profiles = None if profiled is None else profiled.model("profiles", Profiles)
+        return pd.DataFrame([settled(x, y, plain, profiles) for x, y in zip(a, b, strict=True)], columns=["defect", "words"], dtype=object)
 
     judged = rows.select("key", F.monotonically_increasing_id().alias("row"), judge("a", "b").alias("j")).select("key", "row", "j.defect", "j.words")
     judged = stage(judged.where("defect IS NOT NULL OR words IS NOT NULL"), "judged")

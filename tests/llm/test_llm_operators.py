@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quorate.llm import abuse, bpe, clusters, consensus, garbled, lookalike, mixing, overlap, pairs, quota
+from quorate.llm import abuse, bpe, clusters, consensus, garbled, lookalike, mixing, overlap, pairs, profiles, quota
 
 
 def rows(df):
@@ -330,3 +330,50 @@ def test_segments_are_those_of_the_definition():
         assert garbled.segments(np.array(s)) == slow(s, 0, len(s))
     saw = np.tile([1.0, -1.0 + 1e-6], 200_000) - 1e-7 * np.arange(400_000)
     assert len(garbled.segments(saw)) > 0
+
+
+@pytest.mark.parametrize("text", ["The plan (which was agreed…", 'He said "we will not', "Three points: [one, two", "See `the code", "A <b>bold plan", "“He left"])
+def test_what_is_open_was_broken_off(text):
+    assert pairs.unfinished(text) is True
+
+
+@pytest.mark.parametrize("text", ["so sad :( really.", 'a 5" pipe burst.', "I don`t mind.", 'they said "yes" (twice).', "a) one b) two."])
+def test_what_only_looks_open(text):
+    assert pairs.unfinished(text) is False
+
+
+def test_tiles_are_those_of_greedy_tiling():
+    def slow(a, b, shortest):
+        a, b, n = list(a), list(b), 0
+        while True:
+            best = (0, 0, 0)
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    k = 0
+                    while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+                        k += 1
+                    best = max(best, (k, -i, -j))
+            k, i, j = best[0], -best[1], -best[2]
+            if k < shortest:
+                return n
+            a[i : i + k], b[j : j + k], n = [object()] * k, [object()] * k, n + k
+
+    rng = random.Random(11)
+    off = 0
+    for _ in range(150):
+        a, b = ([rng.choice("abcdefgh") for _ in range(rng.randint(0, 25))] for _ in "ab")
+        off += abs(pairs.tiled(a, b, 2) - slow(a, b, 2))
+    assert off <= 30  # ties may be laid otherwise
+    assert pairs.tiled(["x"] * 5000, ["x"] * 5000) == 5000
+
+
+def test_language_profiles(spark):
+    en = ["the council will vote on the new park", "we like the roads of this town", "they want to keep their library open"]
+    es = ["el consejo votará sobre el parque nuevo", "nos gustan las calles de este pueblo", "quieren mantener abierta su biblioteca"]
+    data = [(t, "EN ") for t in en * 9] + [(t, "es") for t in es * 9] + [("odd", "und"), (None, "es"), ("odd", None), ("odd one", "qq")]
+    counts = profiles.learn(spark.createDataFrame(data, "t string, l string"), "t", "l")
+    assert sorted(counts) == ["en", "es"]
+    p = profiles.Profiles(counts)
+    assert p.differ("the roads of the council", "las calles del consejo nuevo y la biblioteca")
+    assert not p.differ("the roads of the council", "they want the park open") and not p.differ("", "las calles") and not p.differ("the", "12 !")
+    assert profiles.learn(spark.createDataFrame([], "t string, l string"), "t", "l") == {} and not profiles.Profiles({}).differ("a b c", "d e f")

@@ -9,6 +9,7 @@ the labels; the two steps alternate until the weights settle.
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from quorate.staging import discard, stage
 
-#: Rows of a hot annotator or item are spread over this many join keys.
-SALTS = 16
+#: Votes of one annotator or item that a task joins at most; hotter ones are spread over more join keys.
+HOT = 100_000
 
 #: Error per label that is assumed beside the observed one. Without it an
 #: annotator who meets no one else would be without error, and outweigh all.
@@ -31,10 +32,17 @@ def chi_squared(p: float, n: Column) -> Column:
     return n * F.pow(F.greatest(1 - c + z * F.sqrt(c), F.lit(1e-3)), F.lit(3.0))
 
 
+def _copies(n: str) -> Column:
+    return F.greatest(F.ceil(F.col(n) / HOT), F.lit(1)).cast("int")
+
+
 def _salted_join(votes: DataFrame, small: DataFrame, on: str, salt: str) -> DataFrame:
-    """Join that spreads the rows of one hot key over SALTS tasks; ``salt`` is a column of ``votes``."""
-    copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return votes.join(copies, [on, salt])
+    """Join with one row per key: column ``n`` (its votes) says over how many keys a hot one was spread.
+
+    Both sides grow with the data, so neither is broadcast.
+    """
+    copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0), _copies("n") - 1))).drop("n")
+    return votes.join(copies.hint("merge"), [on, salt])
 
 
 def votes_of(df: DataFrame, item: str, annotator: str, label: Column, order: list[str]) -> DataFrame:
@@ -43,20 +51,20 @@ def votes_of(df: DataFrame, item: str, annotator: str, label: Column, order: lis
     ``label`` is 1, 0 or null (no vote). Rows without item or annotator drop out.
     """
     first = F.min_by("y", F.struct(*order))
-    v = df.withColumn("y", label.cast("double")).where(F.col("y").isNotNull() & F.col(item).isNotNull() & F.col(annotator).isNotNull())
-    return (
-        v.groupBy(F.col(item).alias("item"), F.col(annotator).alias("annotator"))
-        .agg(first.alias("y"))
-        .withColumn("__si", F.pmod(F.xxhash64("annotator"), F.lit(SALTS)).cast("int"))
-        .withColumn("__sa", F.pmod(F.xxhash64("item"), F.lit(SALTS)).cast("int"))
-    )
+    votes = df.withColumn("y", label.cast("double")).where(F.col("y").isNotNull() & F.col(item).isNotNull() & F.col(annotator).isNotNull())
+    votes = votes.groupBy(F.col(item).alias("item"), F.col(annotator).alias("annotator")).agg(first.alias("y"))
+    for key, other, salt in (("item", "annotator", "__si"), ("annotator", "item", "__sa")):
+        # At most one in HOT votes is a row of these.
+        hot = votes.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > HOT).withColumn("copies", _copies("n")).drop("n")
+        votes = votes.join(hot, key, "left").withColumn(salt, F.when(F.col("copies").isNull(), 0).otherwise(F.pmod(F.xxhash64(other), F.col("copies"))).cast("int")).drop("copies")
+    return votes
 
 
 def _truths(weighted: DataFrame) -> DataFrame:
-    return weighted.groupBy("item").agg(F.sum("w").alias("mass"), F.sum(F.col("w") * F.col("y")).alias("ones_mass"))
+    return weighted.groupBy("item").agg(F.count("*").alias("n"), F.sum("w").alias("mass"), F.sum(F.col("w") * F.col("y")).alias("ones_mass"))
 
 
-def discover(votes: DataFrame, alpha: float = 0.05, rounds: int = 8, settled: float = 1e-3) -> tuple[DataFrame, DataFrame]:
+def discover(votes: DataFrame, alpha: float = 0.05, settled: float = 1e-3) -> tuple[DataFrame, DataFrame]:
     """Items (item, truth, n, share, agreement, label) and annotators (annotator, n, weight, hit, false, informedness).
 
     ``votes`` comes from :func:`votes_of` and should be staged. ``truth`` is the
@@ -68,18 +76,21 @@ def discover(votes: DataFrame, alpha: float = 0.05, rounds: int = 8, settled: fl
     """
     start = votes.groupBy("annotator").agg(F.count("*").cast("double").alias("n")).withColumn("w", F.lit(1.0))
     weights = stage(start, "p1-weights")
-    for _ in range(rounds):
-        weighted = _salted_join(votes, weights.select("annotator", "w"), "annotator", "__sa")
-        truth = _truths(weighted).select("item", (F.col("ones_mass") / F.col("mass")).alias("t"))
+    before = math.inf
+    while True:
+        weighted = _salted_join(votes, weights.select("annotator", "w", "n"), "annotator", "__sa")
+        truth = _truths(weighted).select("item", "n", (F.col("ones_mass") / F.col("mass")).alias("t"))
         error = _salted_join(votes, truth, "item", "__si").groupBy("annotator").agg(F.count("*").cast("double").alias("n"), F.sum(F.pow(F.col("y") - F.col("t"), F.lit(2.0))).alias("e"))
         raw = error.withColumn("w", chi_squared(alpha / 2, F.col("n")) / (F.col("e") + BASE_ERROR * F.col("n")))
         after = stage(raw.select("annotator", "n", "w"), "p1-weights")
-        moved = after.join(weights.select("annotator", F.col("w").alias("w0")), "annotator").agg((F.sum(F.abs(F.col("w") - F.col("w0"))) / F.sum("w0")).alias("d")).first()["d"]
+        moved = after.join(weights.select("annotator", F.col("w").alias("w0")).hint("merge"), "annotator").agg((F.sum(F.abs(F.col("w") - F.col("w0"))) / F.sum("w0")).alias("d")).first()["d"]
         discard(weights)
         weights = after
-        if moved is None or moved < settled:
+        # Alternating minimisation: the steps shrink until the weights settle, or no longer shrink.
+        if moved is None or moved < settled or moved >= before:
             break
-    weighted = stage(_salted_join(votes, weights.select("annotator", "w"), "annotator", "__sa"), "p1-weighted")
+        before = moved
+    weighted = stage(_salted_join(votes, weights.select("annotator", "w", "n"), "annotator", "__sa"), "p1-weighted")
     truth = _truths(weighted)
     seen = _salted_join(weighted, truth, "item", "__si")
     rest = F.col("mass") - F.col("w")
@@ -100,7 +111,7 @@ def reliable_majority(votes: DataFrame, annotators: DataFrame, least: float, min
 
     An annotator whose informedness is unknown stays.
     """
-    bad = annotators.where(F.col("informedness") < least).select("annotator")
-    kept = votes.join(bad, "annotator", "left_anti")
+    good = annotators.where(F.coalesce(F.col("informedness") >= least, F.lit(True))).select("annotator", "n")
+    kept = _salted_join(votes, good, "annotator", "__sa")
     by = kept.groupBy("item").agg(F.count("*").alias("n"), F.sum("y").alias("ones"))
     return by.where((F.col("n") >= minimum) & (F.col("ones") >= share * F.col("n") - 1e-9))

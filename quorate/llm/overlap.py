@@ -1,16 +1,18 @@
 """Same or near-same texts across two splits, by a weighted cosine join.
 
 Texts become unit vectors of word trigrams, weighted by rarity between 1 and
-1.25. Both splits' vectors are indexed in inverted lists, rarest terms first,
-until the rest of a vector has a norm below ``RESIDUE``. Two vectors of cosine
-``COSINE`` or more then share an indexed term, and their dot product over the
-indexed terms is at least ``COSINE`` less the larger rest. Pairs that pass get
+1.25, and both splits' vectors are laid in inverted lists. Terms are ordered by
+rarity. Where a term is the first one that two texts share, their cosine is at
+most the product of the norms of what is left of both vectors from that term on.
+So a text enters a term's list only if the norm of the rest of it, times the
+greatest such norm in the other split's list, reaches ``COSINE``, and two texts
+meet only where the product does. What they share before that term has met them
+already, so no pair of cosine ``COSINE`` or more is lost. Pairs that meet get
 their exact dot product and the exact share of words in common order.
 
 The rarity bound makes the filter safe: where four fifths of the words are
 shared in runs, at least two fifths of the trigrams are, and no weighting
-within 1 to 1.25 brings their cosine below 0.3; edits that spread evenly over a
-text are the worst case and stay above COSINE in all but contrived texts.
+within 1 to 1.25 brings their cosine below 0.3.
 
 Equal normalised texts form a class that is compared once.
 """
@@ -30,8 +32,9 @@ from quorate.llm.lookalike import Rewriter, frequencies, rewriter_of
 from quorate.llm.shared import Shared
 from quorate.staging import stage
 
-COSINE = 0.35
-RESIDUE = 0.25
+COSINE = 0.29
+#: Postings of one term that a task joins at most; longer lists are spread over more join keys.
+HOT = 5000
 #: Least share of words in common order; between the four fifths of true cases and the two thirds of others.
 SHARED = 0.75
 
@@ -82,7 +85,7 @@ def classes(df: DataFrame, key: str, text: str, counts: Mapping[str, int] | None
 
 
 def _vectors(texts: DataFrame) -> DataFrame:
-    """Terms of each class: class, term, u (unit weight), rest (norm of what follows), ahead (norm from here on)."""
+    """Terms of each class: class, term, df, u (unit weight) and ahead (norm from here on, rarest first)."""
     w = F.split(F.concat(F.lit("^ "), F.col("words"), F.lit(" $")), " ")
     terms = texts.where(~F.col("words").startswith("\t")).withColumn("w", w).select("class", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.xxhash64(F.col("w")[i - 1], F.col("w")[i], F.col("w")[i + 1]))).alias("term"))
     tf = stage(terms.groupBy("class", "term").agg(F.count("*").alias("tf")), "overlap-terms")
@@ -96,25 +99,34 @@ def _vectors(texts: DataFrame) -> DataFrame:
     return v.select(
         "class",
         "term",
+        "df",
         (F.col("x") / F.sqrt("norm2")).alias("u"),
-        F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("upto") / F.col("norm2"))).alias("rest"),
         F.sqrt(F.greatest(F.lit(0.0), 1 - (F.col("upto") - squared) / F.col("norm2"))).alias("ahead"),
     )
 
 
+def _lists(vectors: DataFrame, left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings (term, class, size, ahead, copies) of both sides that can meet a posting of the other one."""
+    sides = [vectors.where((F.col("df") > 1) & (F.col("ahead") >= COSINE)).join(s, "class", "left_semi") for s in (left, right)]
+    most = [s.groupBy("term").agg(F.max("ahead").alias("top"), F.count("*").alias("n")) for s in sides]
+    met = [s.join(m.select("term", "top"), "term").where(F.col("ahead") * F.col("top") >= COSINE) for s, m in zip(sides, reversed(most), strict=True)]
+    hot = met[0].groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("term", F.ceil(F.col("n") / HOT).cast("int").alias("copies"))
+    return tuple(s.select("term", "class", "size", "ahead").join(hot, "term", "left").withColumn("copies", F.coalesce("copies", F.lit(1))) for s in met)
+
+
 def near_classes(texts: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs (a, b, cosine, shared) of classes, a of ``left`` and b of ``right`` (columns class), a != b."""
     vectors = stage(_vectors(texts), "overlap-vectors")
-    indexed = vectors.where(F.col("ahead") >= RESIDUE)
-    rest = indexed.groupBy("class").agg(F.min("rest").alias("rest"))
-    a = indexed.join(left, "class", "left_semi").select("term", F.col("class").alias("a"), F.col("u").alias("ua"))
-    b = indexed.join(right, "class", "left_semi").select("term", F.col("class").alias("b"), F.col("u").alias("ub"))
-    met = a.join(b, "term").where("a != b").groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("dot"))
-    # The smallest rest is unknown until the join below; no rest exceeds RESIDUE.
-    met = met.where(F.col("dot") >= COSINE - RESIDUE)
-    met = met.join(rest.select(F.col("class").alias("a"), F.col("rest").alias("ra")), "a").join(rest.select(F.col("class").alias("b"), F.col("rest").alias("rb")), "b")
-    met = met.where(F.col("dot") + F.greatest("ra", "rb") >= COSINE).select("a", "b")
-    whole = vectors.groupBy("class").agg(F.collect_list("term").alias("terms"), F.collect_list("u").alias("us")).join(texts, "class")
+    sizes = texts.select("class", F.size(F.split("words", " ")).alias("size"))
+    a, b = _lists(vectors.join(sizes, "class"), left, right)
+    # A long list of the left is parted, that of the right copied for each part.
+    a = a.select("term", F.col("class").alias("a"), F.col("size").alias("na"), F.col("ahead").alias("ra"), F.pmod(F.xxhash64("class"), F.col("copies")).alias("part"))
+    b = b.select("term", F.col("class").alias("b"), F.col("size").alias("nb"), F.col("ahead").alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies").cast("long") - 1)).alias("part"))
+    # Words in common order are at most those of the shorter text.
+    alike = 2 * F.least("na", "nb") >= SHARED * (F.col("na") + F.col("nb"))
+    met = stage(a.join(b, ["term", "part"]).where(alike & (F.col("ra") * F.col("rb") >= COSINE) & (F.col("a") != F.col("b"))).select("a", "b").distinct(), "overlap-met")
+    whole = vectors.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("term", "u"))).alias("v")).join(texts, "class")
+    whole = stage(whole.select("class", F.transform("v", lambda s: s["term"]).alias("terms"), F.transform("v", lambda s: s["u"]).alias("us"), "words"), "overlap-whole")
     for side in ("a", "b"):
         met = met.join(whole.select(F.col("class").alias(side), F.col("terms").alias(f"t{side}"), F.col("us").alias(f"u{side}"), F.col("words").alias(f"w{side}")), side)
 
@@ -122,8 +134,9 @@ def near_classes(texts: DataFrame, left: DataFrame, right: DataFrame) -> DataFra
     def exact(ta: pd.Series, ua: pd.Series, wa: pd.Series, tb: pd.Series, ub: pd.Series, wb: pd.Series) -> pd.DataFrame:
         rows = []
         for t1, u1, w1, t2, u2, w2 in zip(ta, ua, wa, tb, ub, wb, strict=True):
-            _, i, j = np.intersect1d(t1, t2, return_indices=True)
-            cosine = float(np.dot(np.asarray(u1)[i], np.asarray(u2)[j]))
+            at = np.minimum(np.searchsorted(t1, t2), len(t1) - 1)
+            same = t1[at] == t2
+            cosine = float(np.dot(u1[at[same]], u2[same]))
             rows.append((cosine, shared_in_order(w1.split(" "), w2.split(" ")) if cosine >= COSINE else 0.0))
         return pd.DataFrame(rows, columns=["cosine", "shared"])
 
@@ -131,25 +144,55 @@ def near_classes(texts: DataFrame, left: DataFrame, right: DataFrame) -> DataFra
     return scored.select("a", "b", "s.cosine", "s.shared").where((F.col("cosine") >= COSINE) & (F.col("shared") >= SHARED))
 
 
-def cross_split(df: DataFrame, key: str, text: str, train: DataFrame, test: DataFrame) -> DataFrame:
-    """Distinct pairs (message_id_a, message_id_b), smaller first, one in each split, of the same or near-same text.
-
-    ``train`` and ``test`` have one column, ``key``; null, repeated and unknown
-    keys in them count for nothing. A key in both splits is a pair with itself,
-    even with a null text; otherwise null texts match nothing. Rows without key
-    drop out. Empty tables give no pairs.
-    """
+def _linked(df: DataFrame, key: str, text: str, train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Posts (key, train, test) of the splits, members (key, class, train, test), and links (a, b) of classes, a of train and b of test."""
     train, test = (s.select(F.col(s.columns[0]).alias("key")).where("key IS NOT NULL").distinct() for s in (train, test))
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     marked = rows.join(train.withColumn("train", F.lit(True)), "key", "left").join(test.withColumn("test", F.lit(True)), "key", "left").where("train OR test")
     marked = stage(marked, "overlap-posts")
-    twice = marked.where("train AND test").select(F.col("key").alias("message_id_a"), F.col("key").alias("message_id_b")).distinct()
     members, texts = classes(marked, "key", "text")
     members = stage(members.join(marked.select("key", "train", "test").distinct(), "key"), "overlap-members")
     texts = stage(texts, "overlap-classes")
     left, right = members.where("train").select("class").distinct(), members.where("test").select("class").distinct()
     near = near_classes(texts, left, right).select("a", "b")
     same = left.join(right, "class", "left_semi").select(F.col("class").alias("a"), F.col("class").alias("b"))
+    return marked.select("key", "train", "test").distinct(), members, stage(near.unionByName(same), "overlap-links")
+
+
+def cross_split(df: DataFrame, key: str, text: str, train: DataFrame, test: DataFrame) -> DataFrame:
+    """Distinct pairs (message_id_a, message_id_b), smaller first, one in each split, of the same or near-same text.
+
+    ``train`` and ``test`` have one column, ``key``; null, repeated and unknown
+    keys in them count for nothing. A key in both splits is a pair with itself,
+    even with a null text; otherwise null texts match nothing. Rows without key
+    drop out. Empty tables give no pairs. Copies are expanded into all pairs
+    here; :func:`overlaps` is the form without that.
+    """
+    posts, members, links = _linked(df, key, text, train, test)
+    twice = posts.where("train AND test").select(F.col("key").alias("message_id_a"), F.col("key").alias("message_id_b"))
     of = lambda side, flag: members.where(flag).select(F.col("class").alias(side), F.col("key").alias(f"k{side}"))
-    pairs = near.unionByName(same).join(of("a", "train"), "a").join(of("b", "test"), "b").where("ka != kb")
+    pairs = links.join(of("a", "train"), "a").join(of("b", "test"), "b").where("ka != kb")
     return pairs.select(F.least("ka", "kb").alias("message_id_a"), F.greatest("ka", "kb").alias("message_id_b")).unionByName(twice).distinct()
+
+
+def overlaps(df: DataFrame, key: str, text: str, train: DataFrame, test: DataFrame) -> DataFrame:
+    """key, split, class and n_links of every post with a counterpart in the other split: one row for each split it is in.
+
+    ``n_links`` counts the posts of the other split with the same or near-same
+    text (a post in both splits is its own counterpart). Classes are counted, so
+    copies cost nothing. Keys and texts are treated as by :func:`cross_split`.
+    """
+    posts, members, links = _linked(df, key, text, train, test)
+    sizes = members.groupBy("class").agg(F.count_if("train").alias("n_train"), F.count_if("test").alias("n_test"))
+    parts = []
+    for split, own, other in (("train", "a", "b"), ("test", "b", "a")):
+        rest = "test" if split == "train" else "train"
+        n = links.join(sizes.select(F.col("class").alias(other), F.col(f"n_{rest}").alias("n")), other).groupBy(F.col(own).alias("class")).agg(F.sum("n").alias("n_links"))
+        parts.append(members.where(split).join(n, "class").select("key", F.lit(split).alias("split"), "class", "n_links"))
+        # Posts in both splits without a text have no class.
+        bare = posts.where("train AND test").join(members, "key", "left_anti")
+        parts.append(bare.select("key", F.lit(split).alias("split"), F.lit(None).cast("string").alias("class"), F.lit(1).cast("long").alias("n_links")))
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return found.where("n_links > 0")

@@ -19,11 +19,17 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return overlap.cross_split(table(spark, sf, "four_cell_cohort"), "message_id", "original_text", _split(spark, sf, "train"), _split(spark, sf, "test"))
 
 
+def _overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    return overlap.overlaps(table(spark, sf, "four_cell_cohort"), "message_id", "original_text", _split(spark, sf, "train"), _split(spark, sf, "test"))
+
+
+@query("p3_posts")
+def p3_posts(spark: SparkSession, sf: str) -> DataFrame:
+    """Each post with a counterpart in the other split, its class of equal texts and its number of counterparts."""
+    return _overlaps(spark, sf).withColumnRenamed("key", "message_id")
+
+
 @query("p3_counts")
 def p3_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Posts with a counterpart in the other split, per split and source (id prefix)."""
-    pairs = p3_found(spark, sf)
-    posts = pairs.select(F.explode(F.array("message_id_a", "message_id_b")).alias("key")).distinct()
-    parts = [posts.join(_split(spark, sf, s).distinct(), "key", "left_semi").withColumn("split", F.lit(s)) for s in ("train", "test")]
-    both = parts[0].unionByName(parts[1])
-    return both.groupBy("split", F.substring_index("key", "_", 1).alias("source")).agg(F.count("*").alias("n_posts"))
+    return _overlaps(spark, sf).groupBy("split", F.substring_index("key", "_", 1).alias("source")).agg(F.count("*").alias("n_posts"))

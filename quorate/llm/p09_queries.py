@@ -9,6 +9,18 @@ from quorate.llm.registry import query, table
 from quorate.staging import stage
 
 
+#: Weight schedules of the mix: short social posts early, written reasons late, the rest throughout.
+#: Each integrates to its source's share.
+SCHEDULES = {
+    "reddit": ((0.0, 1.5), (1.0, 0.5)),
+    "twitter": ((0.0, 2.0), (0.5, 1.0), (1.0, 0.0)),
+    "bluesky": ((0.0, 2.0), (0.5, 1.0), (1.0, 0.0)),
+    "reflection": ((0.0, 0.5), (1.0, 1.5)),
+    "rationale": ((0.0, 0.0), (0.25, 0.0), (1.0, 2.0)),
+    "explanation": ((0.0, 0.0), (0.5, 1.0), (1.0, 1.0)),
+}
+
+
 def _sized(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", "source", "text")
     return bpe.count_tokens(d, "text", "n_tokens")
@@ -26,7 +38,7 @@ def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
     """The mix, in training order."""
     sized = stage(_sized(spark, sf), "p9-sized")
     plan = mixing.budget(sized, "source", "n_tokens", table(spark, sf, "source_weights"))
-    return mixing.mix(sized, "doc_id", "source", "n_tokens", plan)
+    return mixing.mix(sized, "doc_id", "source", "n_tokens", plan, SCHEDULES)
 
 
 @query("p9_report")
@@ -34,4 +46,4 @@ def p9_report(spark: SparkSession, sf: str) -> DataFrame:
     """Target and actual shares of the mix."""
     sized = stage(_sized(spark, sf), "p9-sized")
     plan = mixing.budget(sized, "source", "n_tokens", table(spark, sf, "source_weights"))
-    return mixing.report(mixing.mix(sized, "doc_id", "source", "n_tokens", plan), plan)
+    return mixing.report(mixing.mix(sized, "doc_id", "source", "n_tokens", plan, SCHEDULES), plan)

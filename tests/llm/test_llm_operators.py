@@ -98,6 +98,13 @@ def test_overlap_equals_brute_force(spark):
     got = overlap.cross_split(d, "id", "text", one([*train, "q", None, "gone"]), one([*test, "q", "q", "s"]))
     assert {tuple(r) for r in got.collect()} == want | {("q", "q")}
     assert overlap.cross_split(d.limit(0), "id", "text", one(train), one(test)).count() == 0
+    found = overlap.overlaps(d, "id", "text", one([*train, "q", None, "gone"]), one([*test, "q", "q", "s"]))
+    links = {}
+    for a in train:
+        for b in test:
+            if a == b or tuple(sorted((a, b))) in want:
+                links[a, "train"], links[b, "test"] = links.get((a, "train"), 0) + 1, links.get((b, "test"), 0) + 1
+    assert {(r["key"], r["split"]): r["n_links"] for r in found.collect()} == links | {("q", "train"): 1, ("q", "test"): 1}
 
 
 def test_shared_in_order():

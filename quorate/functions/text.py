@@ -122,3 +122,27 @@ def tokens(c: Column | str, stop: list[str] | None = None) -> Column:
     """Lower-case ASCII words of two letters or more, without stop words, each once."""
     words = F.filter(F.split(F.lower(_text(c)), "[^a-z]+"), lambda w: F.length(w) > 1)
     return F.array_distinct(F.filter(words, lambda w: ~w.isin(stop)) if stop else words)
+
+
+def pair_hash(a: Column | str, b: Column | str) -> Column:
+    """Hash of both texts' hashes."""
+    return F.sha2(F.concat(text_hash(a), F.lit("||"), text_hash(b)), 256)
+
+
+def embedding_identity(c: Column | str, model: str, dimensions: int, unit: bool) -> Column:
+    """Key of a text's embedding: hash of a version line and the JSON of what the embedding depends on, keys sorted."""
+    t = F.btrim(_text(c), F.lit(" \t\n\r\x0b\x0c"))
+    blob = F.to_json(F.struct(F.lit(dimensions).alias("dimensions"), F.lit(model).alias("model_id"), F.lit(unit).alias("normalize"), t.alias("text")))
+    return F.sha2(F.concat(F.lit("v1\n"), blob), 256)
+
+
+#: Entities that exports leave in texts.
+ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "))
+
+
+def plain_entities(c: Column | str) -> Column:
+    """Entities as characters, white space as single spaces."""
+    t = _text(c)
+    for entity, sign in ENTITIES:
+        t = F.replace(t, F.lit(entity), F.lit(sign))
+    return F.trim(F.regexp_replace(t, r"\s+", " "))

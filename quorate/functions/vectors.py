@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,3 +54,21 @@ def right_closed_bin(x: Column | str, bins: int) -> Column:
     """Bin 1..bins of a probability, closed on the right: 0.0 falls outside every bin."""
     v = _c(x)
     return F.when((v > 0) & (v <= 1), F.ceil(v * bins).cast("int"))
+
+
+def with_cosine(a: Column | str, b: Column | str) -> Column:
+    """Both vectors and their cosine, in one array."""
+    return F.concat(_c(a).cast("array<double>"), _c(b).cast("array<double>"), F.array(cosine(a, b)))
+
+
+def equivalent(a: Column | str, b: Column | str, tolerance: float) -> Column:
+    """Whether two vectors have one length and differ by at most ``tolerance`` everywhere."""
+    return (F.size(_c(a)) == F.size(_c(b))) & F.forall(difference(a, b), lambda x: F.abs(x) <= tolerance)
+
+
+def density(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
+    """bin, n and density of a value over equal bins of [low, high]; values outside and null count for nothing."""
+    n = df.groupBy(closed_bin(value, low, high, bins).alias("bin")).agg(F.count("*").alias("n")).where("bin IS NOT NULL")
+    # At most ``bins`` rows.
+    whole = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    return n.select("bin", "n", F.round(F.col("n") / (whole * ((high - low) / bins)), 6).alias("density"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorate.operators.ranks import quantiles
+
 
 def with_proportion(counts: DataFrame, within: Sequence[str], n: str = "n", name: str = "proportion", digits: int = 4) -> DataFrame:
     """Adds each row's share of its group's count; null where that is 0. ``counts`` is pre-aggregated."""
@@ -28,16 +30,21 @@ def rate(df: DataFrame, by: Sequence[str], hit: Column, name: str = "rate") -> D
 
 
 def cube_means(df: DataFrame, by: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    """Means over all combinations of the keys, ``all`` where a key is rolled up."""
+    """Means over all combinations of the keys, ``all`` where a key is rolled up; rows with a null or blank key drop out."""
     keys = [F.when(F.grouping(k) == 1, "all").otherwise(F.col(k)).alias(k) for k in by]
-    out = df.where(" AND ".join(f"{k} IS NOT NULL" for k in by)).cube(*[F.col(k) for k in by])
+    out = df.where(" AND ".join(f"trim({k}) != ''" for k in by)).cube(*[F.col(k) for k in by])
     return out.agg(*[k.alias(f"__{n}") for k, n in zip(keys, by, strict=True)], F.count("*").alias("n"), *[F.round(F.avg(m), 6).alias(f"mean_{m}") for m in measures]).select(*[F.col(f"__{n}").alias(n) for n in by], "n", *[f"mean_{m}" for m in measures])
 
 
 def summary(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """n, mean, median, deviation and quartiles; quantiles interpolate."""
+    """n, mean, median, deviation and upper quartile; quantiles interpolate and come from counts of the values."""
     v = F.col(value)
-    return df.groupBy(*by).agg(F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.median(v), 6).alias("median"), F.round(F.stddev_samp(v), 6).alias("sd"), F.round(F.percentile(v, 0.75), 6).alias("p75"))
+    means = df.groupBy(*by).agg(F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_samp(v), 6).alias("sd"))
+    parts = quantiles(df, by, value, {"__median": 0.5, "__p75": 0.75}).select(*[F.col(c).alias(f"__g_{c}") for c in by], "__median", "__p75")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__g_{c}"))
+    return means.join(parts, same, "left").select(*by, "n", "mean", F.round("__median", 6).alias("median"), "sd", F.round("__p75", 6).alias("p75"))
 
 
 def complete(counts: DataFrame, keys: dict[str, Sequence[str]], n: str = "n") -> DataFrame:

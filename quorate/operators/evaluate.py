@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorate.operators.ranks import running_total
+
 
 def confusion(df: DataFrame, by: Sequence[str], gold: str, predicted: Column | str) -> DataFrame:
     """tp, tn, fp, fn and accuracy, precision, recall, f1 per group; 0 where a measure is undefined."""
@@ -45,8 +47,7 @@ def ranking(df: DataFrame, gold: str, score: str) -> DataFrame:
     Null where a side has no rows. Rows are first counted by score; the running totals then run over distinct scores.
     """
     c = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(gold) == 1).alias("p"), F.count_if(F.col(gold) != 1).alias("q"))
-    down = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumns({"cp": F.sum("p").over(down), "cq": F.sum("q").over(down)})
+    c = running_total(c.withColumn("down", -F.col("s")), ["down"], ["p", "q"], "c")
     # Positives above each negative, ties half.
     auc = F.try_divide(F.sum(F.col("q") * (F.col("cp") - F.col("p") / 2)), F.sum("p") * F.sum("q"))
     ap = F.try_divide(F.sum(F.col("p") * F.col("cp") / (F.col("cp") + F.col("cq"))), F.sum("p"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quorate.staging import stage
+
 #: Fixed value: no walk is longer than this.
 MOST_HOPS = 20
 
@@ -24,5 +26,7 @@ def depth(df: DataFrame, key: str, parent: str, most: int = MOST_HOPS) -> DataFr
     while steps < most:
         above = walk.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("hops2"))
         walk = walk.join(above, "up", "left").select("id", F.col("up2").alias("up"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"))
+        # Each step reads the last one twice: written down, it is made once.
+        walk = stage(walk, "replies")
         steps *= 2
     return walk.select(F.col("id").alias(key), F.least(F.lit(most), F.col("hops")).alias("depth"))

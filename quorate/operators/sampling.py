@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorate.operators.ranks import ranked
+
 
 def hash_order(seed: int, key: str) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256)
@@ -25,15 +27,13 @@ def per_class(df: DataFrame, key: str, by: Sequence[str], n: int, seed: int = 42
 
 def share_per_class(df: DataFrame, key: str, by: Sequence[str], fraction: float, seed: int = 42) -> DataFrame:
     """ceil(fraction x n) rows of each class."""
-    groups = Window.partitionBy(*by)
-    d = df.withColumn("__r", F.row_number().over(groups.orderBy(hash_order(seed, key), key))).withColumn("__n", F.count("*").over(groups))
+    d = ranked(df.withColumn("__h", hash_order(seed, key)), by, ["__h", key], "__r", "__n").drop("__h")
     return d.where(F.col("__r") <= F.ceil(F.col("__n") * fraction)).drop("__r", "__n")
 
 
 def split(df: DataFrame, key: str, by: Sequence[str], parts: Sequence[tuple[str, float]], seed: int = 42) -> DataFrame:
     """Adds ``split``: each class is cut at floor(cumulated share x n); the last part takes the rest."""
-    groups = Window.partitionBy(*by)
-    d = df.withColumn("__r", F.row_number().over(groups.orderBy(hash_order(seed, key), key))).withColumn("__n", F.count("*").over(groups))
+    d = ranked(df.withColumn("__h", hash_order(seed, key)), by, ["__h", key], "__r", "__n").drop("__h")
     name, upto = F.lit(parts[-1][0]), 0.0
     cuts = []
     for part, share in parts[:-1]:

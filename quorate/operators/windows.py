@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorate.operators.ranks import ranked
+
 
 def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row that is first in ``order``, by partial aggregation: no key is gathered in one task."""
@@ -33,8 +35,7 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
 
 def batches(df: DataFrame, group: Sequence[str], order: Sequence[str], size: int, whole_only: bool = False, name: str = "batch_id") -> DataFrame:
     """Numbers rows 0.. in ``order`` and divides them by ``size``; with ``whole_only`` an incomplete last batch drops out."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    d = df.withColumn("__i", F.row_number().over(w) - 1)
+    d = ranked(df, group, order, "__i", "__n").withColumn("__i", F.col("__i") - 1)
     if whole_only:
-        d = d.withColumn("__n", F.count("*").over(Window.partitionBy(*group))).where(F.col("__i") < F.col("__n") - F.col("__n") % size)
+        d = d.where(F.col("__i") < F.col("__n") - F.col("__n") % size)
     return d.withColumn(name, F.floor(F.col("__i") / size).cast("int")).drop("__i", "__n")

@@ -32,7 +32,7 @@ def decisions_by_platform(spark: SparkSession, sf: str) -> DataFrame:
     return aggregate.crosstab(d, "platform", "decision", ["keep", "remove"])
 
 
-@query("removal_cube", f"WITH {DECISIONS}, x AS (SELECT party_group, condition, (decision = 'remove')::INT AS removed FROM d WHERE party_group IS NOT NULL AND condition IS NOT NULL) SELECT CASE WHEN grouping(party_group) = 1 THEN 'all' ELSE party_group END AS party_group, CASE WHEN grouping(condition) = 1 THEN 'all' ELSE condition END AS condition, count(*) AS n, round(avg(removed), 6) AS mean_removed FROM x GROUP BY CUBE (x.party_group, x.condition)")
+@query("removal_cube", f"WITH {DECISIONS}, x AS (SELECT party_group, condition, (decision = 'remove')::INT AS removed FROM d WHERE trim(party_group) != '' AND trim(condition) != '') SELECT CASE WHEN grouping(party_group) = 1 THEN 'all' ELSE party_group END AS party_group, CASE WHEN grouping(condition) = 1 THEN 'all' ELSE condition END AS condition, count(*) AS n, round(avg(removed), 6) AS mean_removed FROM x GROUP BY CUBE (x.party_group, x.condition)")
 def removal_cube(spark: SparkSession, sf: str) -> DataFrame:
     d = decisions(spark, sf).withColumn("removed", removed().cast("int"))
     return aggregate.cube_means(d, ["party_group", "condition"], ["removed"])
@@ -40,9 +40,10 @@ def removal_cube(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("decision_grouping_sets", f"WITH {DECISIONS} SELECT party_group, condition, TRY_CAST(phase AS DOUBLE)::INT AS phase, decision, count(*) AS n, round(avg(length(original_text)), 6) AS mean_chars FROM d GROUP BY GROUPING SETS ((party_group, condition, TRY_CAST(phase AS DOUBLE)::INT, decision), (party_group, condition, decision), (party_group, decision), (condition, decision), (decision))")
 def decision_grouping_sets(spark: SparkSession, sf: str) -> DataFrame:
-    decisions(spark, sf).withColumn("phase_n", stripped("phase").try_cast("double").cast("int")).createOrReplaceTempView("__grouping_sets")
-    return spark.sql("""SELECT party_group, condition, phase_n AS phase, decision, count(*) AS n, round(avg(length(original_text)), 6) AS mean_chars FROM __grouping_sets
-        GROUP BY GROUPING SETS ((party_group, condition, phase_n, decision), (party_group, condition, decision), (party_group, decision), (condition, decision), (decision))""")
+    d = decisions(spark, sf).withColumn("phase", stripped("phase").try_cast("double").cast("int"))
+    party, condition, phase, decision = (F.col(c) for c in ("party_group", "condition", "phase", "decision"))
+    sets = [[party, condition, phase, decision], [party, condition, decision], [party, decision], [condition, decision], [decision]]
+    return d.groupingSets(sets, party, condition, phase, decision).agg(F.count("*").alias("n"), F.round(F.avg(F.length("original_text")), 6).alias("mean_chars"))
 
 
 @query("rating_summary", f"SELECT condition, count(r) AS n, round(avg(r), 6) AS mean, round(median(r), 6) AS median, round(stddev_samp(r), 6) AS sd, round(quantile_cont(r, 0.75), 6) AS p75 FROM (SELECT condition, TRY_CAST(trim(phase1_pair_influence_rating, {SPACE}) AS DOUBLE) AS r FROM trials WHERE trial_type = 'survey-html-form') WHERE r IS NOT NULL AND NOT isnan(r) GROUP BY 1")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorate.functions import text
-from quorate.operators import aggregate, windows
+from quorate.operators import aggregate, ranks, windows
 from quorate.plans.common import table
 from quorate.plans.registry import query
 
@@ -93,4 +93,7 @@ def token_enrichment(spark: SparkSession, sf: str) -> DataFrame:
 def long_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Lengths of documents by source, and how many contradict their recorded length."""
     size = F.length("text")
-    return table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg(size), 6).alias("mean_chars"), F.round(F.median(size), 6).alias("median_chars"), F.max(size).alias("max_chars"), F.count_if(size != F.col("n_chars")).alias("n_wrong"))
+    d = table(spark, sf, "documents")
+    n = d.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg(size), 6).alias("mean_chars"), F.max(size).alias("max_chars"), F.count_if(size != F.col("n_chars")).alias("n_wrong"))
+    m = ranks.quantiles(d.withColumn("size", size), ["source"], "size", {"m": 0.5}).withColumnRenamed("source", "s")
+    return n.join(m, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "n", "mean_chars", F.round("m", 6).alias("median_chars"), "max_chars", "n_wrong")

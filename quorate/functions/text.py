@@ -146,3 +146,20 @@ def plain_entities(c: Column | str) -> Column:
     for entity, sign in ENTITIES:
         t = F.replace(t, F.lit(entity), F.lit(sign))
     return F.trim(F.regexp_replace(t, r"\s+", " "))
+
+
+def outer_stripped(c: Column | str) -> Column:
+    """Text without ASCII white space around it."""
+    return F.regexp_replace(F.regexp_replace(_text(c), r"^\s+", ""), r"\s+$", "")
+
+
+def terms(c: Column | str, stop: list[str]) -> Column:
+    """Lower-case ASCII words, numbers and underscores of two characters or more, in order, without stop words."""
+    found = F.regexp_extract_all(F.lower(_text(c)), F.lit("([a-z0-9_]+)"), 1)
+    return F.filter(found, lambda w: (F.length(w) > 1) & ~w.isin(stop))
+
+
+def grams(words: Column, n: int) -> Column:
+    """Runs of ``n`` neighbouring words."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1)))
+    return F.filter(F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " ")), lambda g: F.size(F.split(g, " ")) == n)

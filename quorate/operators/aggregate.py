@@ -62,3 +62,9 @@ def enrichment(counts: DataFrame, term: str, a: str, b: str, total_a: int, total
     rate_a = (F.col(a) + 0.5) / (total_a + 1e-9)
     rate_b = (F.col(b) + 0.5) / (total_b + 1e-9)
     return counts.select(term, a, b, F.round(rate_a / rate_b, 6).alias("ratio"))
+
+
+def margins(df: DataFrame, by: Sequence[str], n: str = "n") -> DataFrame:
+    """Counts over all combinations of the keys and their margins: ``all`` where a key is rolled up, ``<NA>`` for null."""
+    keys = [F.when(F.grouping(k) == 1, "all").otherwise(F.coalesce(F.col(k), F.lit("<NA>"))).alias(f"__{k}") for k in by]
+    return df.cube(*[F.col(k) for k in by]).agg(*keys, F.count("*").alias(n)).select(*[F.col(f"__{k}").alias(k) for k in by], n)

@@ -62,12 +62,14 @@ def without_bad_files(df: DataFrame, file: str, bad: Column) -> DataFrame:
 
 
 def file_kind(name: Column) -> Column:
-    """comment_zst, comment_parquet, submission_zst, submission_parquet or unknown."""
-    what = F.when(name.startswith("RC_") | name.contains("comments"), "comment").when(name.startswith("RS_") | name.contains("submissions"), "submission")
-    form = F.when(name.endswith(".zst"), "zst").when(name.endswith(".parquet"), "parquet")
-    return F.coalesce(F.concat(what, F.lit("_"), form), F.lit("unknown"))
+    """comment_zst, submission_zst, comment_parquet, submission_parquet, parquet_other or other, by a file's name in any case."""
+    n = F.lower(name)
+    table = F.when(n.contains("comment"), "comment_parquet").when(n.contains("submission"), "submission_parquet").otherwise("parquet_other")
+    zst = n.endswith(".zst")
+    return F.when(zst & n.startswith("rc_"), "comment_zst").when(zst & n.startswith("rs_"), "submission_zst").when(n.endswith(".parquet"), table).otherwise("other")
 
 
 def file_month(name: Column) -> Column:
-    m = F.regexp_extract(name, r"(\d{4}-\d{2})", 1)
+    """The month after RC_ or RS_ in a file's name, null without one."""
+    m = F.regexp_extract(name, r"(?:RC|RS)_(\d{4}-\d{2})", 1)
     return F.when(m != "", m)

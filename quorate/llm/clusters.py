@@ -8,8 +8,8 @@ regularised towards a floor. The mixture is found in four steps:
    divided in two by expectation-maximisation for as long as the Bayesian
    information criterion falls;
 2. expectation-maximisation over all components: a record weighs its own
-   component against all that share one of their telling words with it, until
-   almost none moves;
+   component against all whose common words may be near its own, until almost
+   none moves;
 3. components whose union has the better criterion unite, until none do, and
    records are weighed once more;
 4. records too far from the mean of their component belong to the background.
@@ -47,10 +47,13 @@ FARTHEST = 0.6
 LEAST = 3
 #: Most records that one task divides at a time.
 LAYOUT = 5000
-#: A component's word is one that this share of its records has; its telling words make up this share of their mass.
-COMMON, TELLING = 0.5, 0.6
+#: A component's word is one that this share of its records has.
+COMMON = 0.5
+#: Least cosine with a component's common words of a record, or of another one's common words, for the two to be compared:
+#: a mean m with less is farther than the background, as (1 + |m|^2 - d) / 2 / |m| is at least this for d up to 0.72.
+NEAR = 0.55
 #: Salts of a hot word, and the share of records at whose moving expectation-maximisation ends.
-SALTS, SETTLED = 16, 1e-3
+SALTS, SETTLED = 16, 1e-2
 
 
 def _words(c: str) -> Column:
@@ -71,7 +74,7 @@ def _forms(df: DataFrame, key: str, text: str, beside: str | None) -> tuple[Data
 
 
 def _terms(forms: DataFrame, n: float) -> DataFrame:
-    """form, weight, term, count (records with the term), u (weight in the unit vector) and lead (a word of the first text)."""
+    """form, weight, term, count (records with the term), u (weight in the unit vector), ahead (norm from here on, rarest first) and lead (a word of the first text)."""
     t = forms.select("form", "weight", "first", "second", F.explode(F.array_union("first", "second")).alias("term"))
     t = t.withColumn("lead", F.array_contains("first", F.col("term")))
     t = t.withColumn("tf", F.col("lead").cast("double") + BESIDE * F.array_contains("second", F.col("term")).cast("double")).drop("first", "second")
@@ -81,8 +84,27 @@ def _terms(forms: DataFrame, n: float) -> DataFrame:
     t = t.withColumn("salt", F.pmod("form", F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"]).drop("salt")
     # A word that fewer than LEAST records have tells as much as one that LEAST have.
     t = t.withColumn("x", F.col("tf") * (F.log(F.lit(n) / F.greatest("count", F.lit(LEAST))).cast("double") + 0.01))
-    norms = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("form")))  # as many rows as the texts have words
-    return t.select("form", "weight", "term", "count", "lead", (F.col("x") / norms).alias("u"))
+    return _ahead(t, "form", "x").select("form", "weight", "term", "count", "lead", (F.col("x") / F.col("norm")).alias("u"), "ahead")
+
+
+def _ahead(df: DataFrame, key: str, x: str) -> DataFrame:
+    """Adds the norm of a key's weights, and ``ahead``: what of it (from 1 down) is left from this word on, rarest first.
+
+    Where a word is the first one that two keys share, their cosine is at most the product of what both have ahead.
+    """
+    own = Window.partitionBy(key)  # as many rows as the texts have words
+    square = F.col(x) * F.col(x)
+    d = df.withColumns({"whole": F.sum(square).over(own), "upto": F.sum(square).over(own.orderBy("count", "term").rowsBetween(Window.unboundedPreceding, 0))})
+    return d.withColumn("ahead", F.sqrt(F.greatest(F.lit(0.0), 1 - (F.col("upto") - square) / F.col("whole")))).withColumn("norm", F.sqrt("whole")).drop("whole", "upto")
+
+
+def _meeting(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct (a, b) of two tables of (term, key, ahead) whose first shared word lets them have a cosine of NEAR."""
+    tops = [s.groupBy("term").agg(F.max("ahead").alias("top")) for s in (a, b)]
+    # Lists are cut to what can meet the best of the other side, so that those of hot words are short.
+    a, b = (s.join(top, "term").where(F.col("ahead") * F.col("top") >= NEAR).drop("top") for s, top in ((a, tops[1]), (b, tops[0])))
+    met = a.select("term", F.col("key").alias("a"), F.col("ahead").alias("ra")).join(b.select("term", F.col("key").alias("b"), F.col("ahead").alias("rb")), "term")
+    return met.where(F.col("ra") * F.col("rb") >= NEAR).select("a", "b").distinct()
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -227,21 +249,14 @@ def _stats(placed: DataFrame) -> DataFrame:
 
 
 def _word_sums(placed: DataFrame, terms: DataFrame) -> DataFrame:
-    """comp, term, c (records with it) and s (sum of its weights)."""
-    return placed.select("form", "comp").join(terms.where(F.col("count") >= LEAST), "form").groupBy("comp", "term").agg(F.sum("weight").alias("c"), F.sum(F.col("weight") * F.col("u")).alias("s"))
+    """comp, term, count, c (records of the component with it) and s (sum of its weights)."""
+    return placed.select("form", "comp").join(terms.where(F.col("count") >= LEAST), "form").groupBy("comp", "term", "count").agg(F.sum("weight").alias("c"), F.sum(F.col("weight") * F.col("u")).alias("s"))
 
 
 def _common(sums: DataFrame, stats: DataFrame) -> DataFrame:
-    """comp, term, m (mean weight), mass (of all) and ahead (share of it in heavier words) of each component's common words.
-
-    Whoever shares more than 1 - s of the mass shares a word that has less than s ahead.
-    """
-    common = sums.join(stats.select("comp", "n"), "comp").where(F.col("c") >= COMMON * F.col("n")).withColumn("m", F.col("s") / F.col("n"))
-    mass = F.col("m") * F.col("m")
-    # At most 1 / COMMON times as many rows as a record has words.
-    order = Window.partitionBy("comp").orderBy(F.desc("m"), "term")
-    d = common.withColumns({"upto": F.sum(mass).over(order.rowsBetween(Window.unboundedPreceding, 0)), "mass": F.sum(mass).over(Window.partitionBy("comp"))})
-    return d.select("comp", "term", "m", "mass", ((F.col("upto") - mass) / F.col("mass")).alias("ahead"))
+    """term, key (the component) and ahead of the common words of each component of two records or more."""
+    common = sums.join(stats.where("n >= 2").select("comp", "n"), "comp").where(F.col("c") >= COMMON * F.col("n"))
+    return _ahead(common.withColumn("m", F.col("s") / F.col("n")), "comp", "m").select("term", F.col("comp").alias("key"), "ahead")
 
 
 def _variances() -> Column:
@@ -253,10 +268,8 @@ def _variances() -> Column:
 def _weighed(placed: DataFrame, terms: DataFrame) -> DataFrame:
     """form, weight, x, comp, d and moved: every record with the component of greatest density; d is the squared distance per dimension from the mean of the others."""
     stats = stage(_stats(placed), "cluster-stats")
-    telling = _common(_word_sums(placed, terms), stats).where(F.col("ahead") < TELLING)
-    met = terms.where(F.col("count") >= LEAST).select("form", "term", "u").join(telling, "term").groupBy("form", "comp").agg(F.sum(F.col("u") * F.col("m")).alias("dot"), F.max("mass").alias("mass"))
-    # Those that have little of a component's words are not near its mean.
-    met = met.where(F.col("dot") >= 0.25 * F.col("mass")).select("form", "comp")
+    common = _common(_word_sums(placed, terms), stats)
+    met = _meeting(terms.where(F.col("count") >= LEAST).select("term", F.col("form").alias("key"), "ahead"), common).toDF("form", "comp")
     own = placed.select("form", "comp")
     pairs = met.unionByName(own).distinct().join(placed.select("form", "weight", "x", F.col("comp").alias("was")), "form")
     pairs = pairs.join(stats.select("comp", "n", "mean", _variances().alias("v")), "comp").join(stats.select(F.col("comp").alias("was"), F.col("n").alias("n0")), "was")
@@ -298,13 +311,9 @@ def _unions(stats: DataFrame, common: DataFrame) -> DataFrame:
     """comp and to: the larger component, if any, with which the union has the best criterion.
 
     ``h`` records tell the two means apart; beyond TOLD they tell nothing new
-    (records of one wording are no independent witnesses). Components are compared
-    if the heaviest words of one, which make up what it may not share, are common
-    in the other.
+    (records of one wording are no independent witnesses).
     """
-    common = common.join(stats.where("n >= 2").select("comp"), "comp")
-    first = common.where(F.col("ahead") < 1 - TELLING).select("term", F.col("comp").alias("a"))
-    near = first.join(common.select("term", F.col("comp").alias("b")), "term").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = _meeting(common, common).where("a < b")
     s = stats.where("n >= 2").select("comp", "n", "mean")
     met = near.join(s.toDF("a", "na", "ma"), "a").join(s.toDF("b", "nb", "mb"), "b")
     gap = F.aggregate(F.zip_with("ma", "mb", lambda p, q: (p - q).cast("double") * (p - q)), F.lit(0.0), lambda a, y: a + y)
@@ -337,7 +346,7 @@ def _united(placed: DataFrame, terms: DataFrame) -> DataFrame:
         renamed = stats.join(links, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).select("comp", "n", array_to_vector("mean").alias("v"), "q")
         merged = renamed.groupBy("comp").agg(Summarizer.mean(F.col("v"), F.col("n")).alias("m"), F.sum("n").alias("m_n"), (F.sum(F.col("n") * F.col("q")) / F.sum("n")).alias("q"))
         stats = stage(merged.select("comp", F.col("m_n").alias("n"), vector_to_array("m", "float32").alias("mean"), "q"), "cluster-stats")
-        sums = stage(sums.join(links, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).groupBy("comp", "term").agg(F.sum("c").alias("c"), F.sum("s").alias("s")), "cluster-words")
+        sums = stage(sums.join(links, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).groupBy("comp", "term", "count").agg(F.sum("c").alias("c"), F.sum("s").alias("s")), "cluster-words")
     return placed.select("form", "weight", "x", "comp").join(names, "comp").select("form", "weight", "x", F.col("now").alias("comp"))
 
 

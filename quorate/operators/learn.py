@@ -13,7 +13,7 @@ from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -142,3 +142,18 @@ def k_means_by_silhouette(df: DataFrame, column: str, ks: Sequence[int], seeds:
         found[k] = (judge.evaluate(clustered), clustered)
     best = max(found, key=lambda k: (found[k][0], -k))
     return found[best][1], best, {k: v for k, (v, _) in found.items()}
+
+
+def one_hot(column: str, values: Sequence[str]) -> list[Column]:
+    """A 0/1 column for each value of training; other values and null have none."""
+    return [F.coalesce((F.col(column) == v).cast("int"), F.lit(0)).alias(f"is_{v.replace('-', '_')}") for v in values]
+
+
+def class_weights(terms: DataFrame, group: str, term: str) -> DataFrame:
+    """Weight of each class's terms: share of the class's terms times log(1 + mean terms of a class / the term's count in all)."""
+    n = terms.groupBy(group, term).agg(F.count("*").alias("tf"))
+    own = n.groupBy(group).agg(F.sum("tf").alias("own"))  # one row per class
+    mean = own.agg((F.sum("own") / F.count("*")).alias("a"))  # one row
+    # As many rows as classes that have the term.
+    d = n.withColumn("f", F.sum("tf").over(Window.partitionBy(term))).join(F.broadcast(mean), F.lit(True)).join(own, group)
+    return d.select(group, term, (F.col("tf") / F.col("own") * F.log1p(F.col("a") / F.col("f"))).alias("weight"))

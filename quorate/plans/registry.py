@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from quorate.plans import comments, labels, models, partitions, roles, samples, selections, summaries, texts, thresholds  # noqa: F401
+    from quorate.plans import comments, labels, learned, models, partitions, roles, samples, selections, summaries, texts, thresholds  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -46,7 +46,10 @@ def pair_measures(spark: SparkSession, sf: str) -> DataFrame:
     return wide.select("flip_id", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in wide.columns[1:]])
 
 
-@query("readability")
+_SYLLABLES = "list_sum(list_transform(w, lambda x: CASE WHEN regexp_replace(lower(x), '[^a-z]', '', 'g') = '' THEN 0 ELSE greatest(1, len(regexp_extract_all(regexp_replace(lower(x), '[^a-z]', '', 'g'), '[aeiouy]+')) - CASE WHEN regexp_replace(lower(x), '[^a-z]', '', 'g') LIKE '%e' AND len(regexp_extract_all(regexp_replace(lower(x), '[^a-z]', '', 'g'), '[aeiouy]+')) > 1 THEN 1 ELSE 0 END) END))"
+
+
+@query("readability", f"WITH x AS (SELECT message_id, regexp_extract_all(coalesce(original_text, ''), '\\p{{L}}+') AS w, greatest(1, {_sql('original_text')['sentence_count']}) AS s FROM four_cell_cohort), y AS (SELECT message_id, len(w) AS n, s, {_SYLLABLES} AS y FROM x) SELECT message_id, CASE WHEN n > 0 THEN round(0.39::DOUBLE * n / s + 11.8::DOUBLE * y / n - 15.59::DOUBLE, 6) ELSE 0.0 END AS grade, CASE WHEN n > 0 THEN round(206.835::DOUBLE - 1.015::DOUBLE * n / s - 84.6::DOUBLE * y / n, 6) ELSE 0.0 END AS reading_ease FROM y")
 def readability(spark: SparkSession, sf: str) -> DataFrame:
     """Grade and reading ease of every cohort post."""
     return table(spark, sf, "four_cell_cohort").select("message_id", *[F.round(text.measure(n, "original_text"), 6).alias(n) for n in ("grade", "reading_ease")])

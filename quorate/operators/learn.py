@@ -36,15 +36,16 @@ def matrix(train: DataFrame, numbers: Sequence[str], categories: Sequence[str] =
     """Stages that lay numbers (null as 0), one-hot categories (unknown ones as none) and array columns into ``features``."""
     stages = []
     for c in categories:
-        stages.append(StringIndexer(inputCol=c, outputCol=f"__i_{c}", handleInvalid="keep", stringOrderType="alphabetAsc"))
+        stages.append(StringIndexer(inputCol=f"__c_{c}", outputCol=f"__i_{c}", handleInvalid="keep", stringOrderType="alphabetAsc"))
         stages.append(OneHotEncoder(inputCol=f"__i_{c}", outputCol=f"__o_{c}", dropLast=True))
     stages.append(VectorAssembler(inputCols=[*[f"__n_{c}" for c in numbers], *[f"__o_{c}" for c in categories], *[f"__v_{c}" for c in vectors]], outputCol="features"))
-    return Pipeline(stages=stages).fit(prepared(train, numbers, vectors))
+    return Pipeline(stages=stages).fit(prepared(train, numbers, categories, vectors))
 
 
-def prepared(df: DataFrame, numbers: Sequence[str], vectors: Sequence[str] = ()) -> DataFrame:
-    """Adds the columns that :func:`matrix` reads: numbers coerced, null as 0, and arrays as vectors."""
-    return df.withColumns({f"__n_{c}": F.coalesce(F.col(c).cast("string").try_cast("double"), F.lit(0.0)) for c in numbers} | {f"__v_{c}": array_to_vector(c) for c in vectors})
+def prepared(df: DataFrame, numbers: Sequence[str], categories: Sequence[str] = (), vectors: Sequence[str] = ()) -> DataFrame:
+    """Adds the columns that :func:`matrix` reads: numbers coerced, null as 0; categories, null and blank as ``none``; arrays as vectors."""
+    named = lambda c: F.coalesce(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")), F.lit("none"))
+    return df.withColumns({f"__c_{c}": named(c) for c in categories} | {f"__n_{c}": F.coalesce(F.col(c).cast("string").try_cast("double"), F.lit(0.0)) for c in numbers} | {f"__v_{c}": array_to_vector(c) for c in vectors})
 
 
 def logistic(train: DataFrame, label: str = "label", c: float = 1.0, balanced: bool = False, rounds: int = 2000):

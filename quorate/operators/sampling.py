@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quorate.operators.ranks import ranked
@@ -19,6 +19,15 @@ def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(hash_order(seed, key), key).limit(n)
 
 
+def frozen(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
+    """A subset that is drawn once: read from ``path`` if it is there, else made and written. Also whether it was made."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS"))
+    if not there:
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path), not there
+
+
 def per_class(df: DataFrame, key: str, by: Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """``n`` rows of each class, or all it has."""
     w = Window.partitionBy(*by).orderBy(hash_order(seed, key), key)

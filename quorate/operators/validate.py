@@ -47,6 +47,43 @@ def dependents(df: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
     return df.groupBy(key).agg(*many).where(wrong)
 
 
+def require_schema(df: DataFrame, schema: dict[str, str]) -> DataFrame:
+    """The table, or an error that names columns that are missing or of another type."""
+    have = dict(df.dtypes)
+    if bad := {n: have.get(n, "missing") for n, t in schema.items() if have.get(n) != t}:
+        raise ValueError(f"columns of other types: {bad}")
+    return df
+
+
+def require_shares(df: DataFrame, label: str, shares: dict[object, float], tolerance: float) -> DataFrame:
+    """The table, or an error if a label's share of the rows is farther than ``tolerance`` from the given one, as after a split."""
+    n = {r[0]: r[1] for r in df.groupBy(label).agg(F.count("*")).where(F.col(label).isin(list(shares))).collect()}
+    total = df.count()
+    if bad := {k: n.get(k, 0) / total if total else None for k, s in shares.items() if not total or abs(n.get(k, 0) / total - s) > tolerance}:
+        raise ValueError(f"shares off: {bad}")
+    return df
+
+
+def require_measure(df: DataFrame, gold: str, predicted: str, accuracy: float, tolerance: float = 1e-6) -> DataFrame:
+    """The table, or an error if its predictions do not have the accuracy that a run reported."""
+    found = df.agg(F.avg((F.col(gold) == F.col(predicted)).cast("int"))).first()[0]
+    if found is None or abs(found - accuracy) > tolerance:
+        raise ValueError(f"accuracy {found}, reported {accuracy}")
+    return df
+
+
+def require_cover(df: DataFrame, parts: Sequence[DataFrame], key: str) -> None:
+    """An error unless the parts are disjoint and make up the keys of the table."""
+    counted = None
+    for p in parts:
+        counted = p.select(key) if counted is None else counted.unionByName(p.select(key))
+    counted = counted.groupBy(key).agg(F.count("*").alias("n"))
+    whole = df.select(key).distinct().withColumn("w", F.lit(1))
+    bad = whole.join(counted, key, "full").where("w IS NULL OR n IS NULL OR n > 1").limit(5).collect()
+    if bad:
+        raise ValueError(f"keys not in exactly one part: {[r[0] for r in bad]}")
+
+
 def require_disjoint(a: DataFrame, b: DataFrame, key: str) -> None:
     if found := a.join(b, key, "left_semi").select(key).limit(5).collect():
         raise ValueError(f"in both parts: {[r[0] for r in found]}")

@@ -45,11 +45,11 @@ def class_terms(spark: SparkSession, sf: str) -> DataFrame:
 def label_model(spark: SparkSession, sf: str) -> DataFrame:
     """Measures of a balanced logistic probe for removal, on text measures and labels of the posts held out."""
     numbers = ["chars", "words", "marks"]
-    c = table(spark, sf, "four_cell_cohort").select("message_id", F.col("cell").endswith("remove").cast("int").alias("label"), text.char_count("original_text").alias("chars"), text.word_count("original_text").alias("words"), text.punctuation_count("original_text").alias("marks"), F.coalesce("sampled_stance", F.lit("none")).alias("stance"), *[lexicon.classify(n, "original_text").cast("int").alias(n) for n in lexicon.CLASSIFIERS])
+    c = table(spark, sf, "four_cell_cohort").select("message_id", F.col("cell").endswith("remove").cast("int").alias("label"), text.char_count("original_text").alias("chars"), text.word_count("original_text").alias("words"), text.punctuation_count("original_text").alias("marks"), F.lower("sampled_stance").alias("stance"), *[lexicon.classify(n, "original_text").cast("int").alias(n) for n in lexicon.CLASSIFIERS])
     names = [*numbers, *lexicon.CLASSIFIERS]
     held = F.pmod(F.xxhash64("message_id"), F.lit(5)) == 0
     stages = learn.matrix(c.where(~held), names, ["stance"])
-    rows = stages.transform(learn.prepared(c, names))
+    rows = stages.transform(learn.prepared(c, names, ["stance"]))
     scaled = learn.standardised(rows.where(~held), rows).drop("features").withColumnRenamed("scaled", "features")
     model = learn.logistic(scaled.where(~held), balanced=True)
     scored = learn.scores(model, scaled.where(held)).withColumn("yhat", (F.col("score") >= 0.5).cast("int"))

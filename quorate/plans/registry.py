@@ -35,6 +35,14 @@ def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
+def chosen(names: list[str] | None = None) -> dict[str, Query]:
+    """The named queries, all without names; an unknown name is an error that lists the known ones."""
+    found = queries()
+    if unknown := [n for n in names or [] if n not in found]:
+        raise KeyError(f"unknown queries {', '.join(unknown)}; there are {', '.join(sorted(found))}")
+    return found if names is None else {n: found[n] for n in names}
+
+
 def oracle_sql() -> dict[str, str]:
     _load()
     return dict(_ORACLES)

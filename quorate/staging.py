@@ -2,8 +2,8 @@
 
 An iterative plan must not recompute its past and must survive the loss of an
 executor, so intermediate results go to Parquet files under the folder that
-``spark.checkpoint.dir`` names. Only where that setting is absent (tests, a
-laptop) a temporary folder of the driver machine is used.
+``spark.checkpoint.dir`` names. Only on a local master without that setting
+(tests, a laptop) a temporary folder is used; on a cluster it must be set.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ def staging_root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if shared:
         return f"{shared.rstrip('/')}/quorate-{app}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if app not in _FALLBACK:
         _FALLBACK[app] = tempfile.mkdtemp(prefix="quorate-")
         atexit.register(shutil.rmtree, _FALLBACK[app], True)

@@ -66,7 +66,7 @@ def test_matrix_and_one_hot(spark):
     d = spark.createDataFrame([("a", "1.5"), ("b", None), (None, "x")], "c string, n string")
     stages = learn.matrix(d.where("c IS NOT NULL"), ["n"], ["c"])
     other = spark.createDataFrame([("a", "2"), ("z", "3")], "c string, n string")
-    assert [[float(x) for x in r[0].toArray()] for r in stages.transform(learn.prepared(other, ["n"])).select("features").collect()] == [[2.0, 1.0, 0.0], [3.0, 0.0, 0.0]]
+    assert [[float(x) for x in r[0].toArray()] for r in stages.transform(learn.prepared(other, ["n"], ["c"])).select("features").collect()] == [[2.0, 1.0, 0.0], [3.0, 0.0, 0.0]]
     assert rows(other.select(*learn.one_hot("c", ["a", "b"]))) == [(0, 0), (1, 0)]
 
 

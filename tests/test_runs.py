@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quorate.operators import select
+from quorate.operators import sampling, select, validate
+from quorate.plans import registry
 from quorate.sources import catalog, discover, sinks
 from quorate.streaming import files, runs
 
@@ -185,3 +186,19 @@ def test_plans_of_calls(spark):
     t = spark.createDataFrame([("moderation-trial", " 1 ", "x", None), ("moderation-trial", "two", "x", None), ("other", "1", "x", None)], "trial_type string, phase string, attitude_a string, empty string")
     p = select.pilot_trials(t)
     assert rows(select.without_empty_columns(p)) == [("moderation-trial", 1.0)]
+
+
+def test_more_contracts(spark, tmp_path):
+    d = spark.createDataFrame([("a", 1, 1), ("b", 0, 1)], "k string, y int, p int")
+    validate.require_schema(d, {"k": "string", "y": "int"})
+    validate.require_shares(d, "y", {1: 0.5, 0: 0.5}, 0.01)
+    validate.require_measure(d, "y", "p", 0.5)
+    validate.require_cover(d, [d.limit(0), d], "k")
+    for check in (lambda: validate.require_schema(d, {"y": "string"}), lambda: validate.require_shares(d, "y", {1: 0.9}, 0.1), lambda: validate.require_shares(d.limit(0), "y", {1: 0.5}, 0.1), lambda: validate.require_measure(d, "y", "p", 0.9), lambda: validate.require_cover(d, [d, d], "k"), lambda: validate.require_cover(d, [d.where("k = 'a'")], "k")):
+        with pytest.raises(ValueError):
+            check()
+    made = [sampling.frozen(spark, str(tmp_path / "f"), lambda: sampling.sample(d, "k", 1)) for _ in range(2)]
+    assert [m for _, m in made] == [True, False] and rows(made[0][0]) == rows(made[1][0])
+    assert list(registry.chosen(["modal_labels"])) == ["modal_labels"] and len(registry.chosen()) > 100
+    with pytest.raises(KeyError):
+        registry.chosen(["none"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +35,23 @@ def coverage(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count(value).alias("n_hit"), F.count_if(F.col(value).isNull()).alias("n_miss"), F.round(F.count(value) / F.count("*"), 6).alias("share"))
 
 
+def resolved(df: DataFrame, key: str, value: str, tiers: Mapping[str, DataFrame], make: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Adds ``value`` and ``tier``: from the first tier, a table of (key, value), that has the key; what none has is made, or has null and ``missing``.
+
+    ``make`` gets the distinct keys that are left, with the columns of ``df``, and
+    gives (key, value). Each tier is asked only for what the ones before lack.
+    """
+    asked, found = df.where(F.col(key).isNotNull()).dropDuplicates([key]), None
+    for name, tier in tiers.items():
+        hit = asked.select(key).join(tier.select(key, value), key).select(key, value, F.lit(name).alias("tier"))
+        found = hit if found is None else found.unionByName(hit)
+        asked = asked.join(tier.select(key), key, "left_anti")
+    if make is not None:
+        made = make(asked).select(key, value, F.lit("made").alias("tier"))
+        found = made if found is None else found.unionByName(made)
+    return df.join(found, key, "left").withColumn("tier", F.coalesce("tier", F.lit("missing")))
+
+
 def require_covered(df: DataFrame, value: str) -> DataFrame:
     """The table, or an error with the number of rows without ``value``."""
     n = df.where(F.col(value).isNull()).count()

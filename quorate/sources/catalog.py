@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,16 +15,47 @@ UPLOAD = r"^data_(\d+)(?:_[0-9a-f]+)?\.csv$"
 COMMENT = T.StructType([T.StructField(n, t) for n, t in (("id", T.StringType()), ("author", T.StringType()), ("link_id", T.StringType()), ("parent_id", T.StringType()), ("subreddit", T.StringType()), ("body", T.StringType()), ("score", T.LongType()), ("created_utc", T.LongType()), ("permalink", T.StringType()))])
 
 
+@dataclass(frozen=True)
+class Entry:
+    """A table of a study: where it lies, its kind (results, stimuli, transformed) and the study's phase."""
+
+    path: str
+    kind: str = "results"
+    phase: str = ""
+
+
+#: The tables of the moderation study by name.
+STUDY = {
+    "trials": Entry("trials.parquet", "results", "phase 2 part 2"),
+    "cohort": Entry("four_cell_cohort.parquet", "transformed", "phase 2 part 2"),
+    "splits": Entry("split_ids.parquet", "transformed", "phase 2 part 2"),
+    "flips": Entry("flips.parquet", "stimuli", "mirrors"),
+    "comments": Entry("comments.parquet", "stimuli", "dumps"),
+    "synced_comments": Entry("mirrorview_comments.parquet", "stimuli", "dumps"),
+    "toxicity_scores": Entry("toxicity_scores.parquet", "transformed", "dumps"),
+    "features": Entry("assignments_hdbscan.parquet", "transformed", "features"),
+}
+
+
 class Catalog:
-    """Names of tables and where they lie; an unknown name is an error that lists the known ones."""
+    """Names of tables and where they lie; an unknown name is an error that lists the known ones. Relative paths lie below ``root``."""
+
+    def __init__(self, entries: Mapping[str, str | Entry], root: str = ""):
+        self.entries = {n: e if isinstance(e, Entry) else Entry(e) for n, e in entries.items()}
+        self.root = root.rstrip("/")
 
-    def __init__(self, paths: Mapping[str, str]):
-        self.paths = dict(paths)
+    def entry(self, name: str) -> Entry:
+        if name not in self.entries:
+            raise KeyError(f"unknown table {name}; there are {', '.join(sorted(self.entries))}")
+        return self.entries[name]
 
     def path(self, name: str) -> str:
-        if name not in self.paths:
-            raise KeyError(f"unknown table {name}; there are {', '.join(sorted(self.paths))}")
-        return self.paths[name]
+        """The table's path; whether it exists is not looked at."""
+        p = self.entry(name).path
+        return p if not self.root or "://" in p or p.startswith("/") else f"{self.root}/{p}"
+
+    def names(self, kind: str | None = None, phase: str | None = None) -> list[str]:
+        return sorted(n for n, e in self.entries.items() if kind in (None, e.kind) and phase in (None, e.phase))
 
     def load(self, spark: SparkSession, name: str) -> DataFrame:
         path = self.path(name)
@@ -32,9 +64,14 @@ class Catalog:
         return spark.read.json(path) if ".json" in path else spark.read.parquet(path)
 
 
-def csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with a header; quoted fields may hold line ends and doubled quotes. Without a schema all columns are strings."""
-    reader = spark.read.options(header=True, multiLine=True, escape='"')
+def csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None, lines: bool = False, infer: bool = False) -> DataFrame:
+    """CSV with a header and doubled quotes; quoted fields may hold line ends.
+
+    Without a schema all columns are strings, or with ``infer`` what their
+    values look like. With ``lines`` no field holds a line end, and large files
+    are read in parts.
+    """
+    reader = spark.read.options(header=True, multiLine=not lines, escape='"', inferSchema=infer)
     return (reader.schema(schema) if schema is not None else reader).csv(path)
 
 

@@ -149,3 +149,12 @@ def test_roles_and_versions(spark):
     assert tuple(v.select(vectors.unit("a"), vectors.difference("a", "b"), vectors.equivalent("a", "b", 3.0)).first()) == ([0.6, 0.8], [2.0, 3.0], True)
     with pytest.raises(Exception, match="different lengths"):
         v.select(reshape.zipped(F.col("a"), F.array(F.lit(1.0)))).collect()
+
+
+def test_values_of_several_tiers(spark):
+    d = spark.createDataFrame([("a",), ("b",), ("b",), ("c",), (None,)], "k string")
+    near, far = spark.createDataFrame([("a", 1)], "k string, v int"), spark.createDataFrame([("a", 9), ("b", 2)], "k string, v int")
+    got = reshape.resolved(d, "k", "v", {"near": near, "far": far})
+    assert rows(got.select("k", "v", "tier")) == [("a", 1, "near"), ("b", 2, "far"), ("b", 2, "far"), ("c", None, "missing"), (None, None, "missing")]
+    made = reshape.resolved(d, "k", "v", {"near": near}, lambda left: left.withColumn("v", F.length("k")))
+    assert rows(made.where("tier = 'made'").select("k", "v")) == [("b", 1), ("b", 1), ("c", 1)]

@@ -202,3 +202,11 @@ def test_more_contracts(spark, tmp_path):
     assert list(registry.chosen(["modal_labels"])) == ["modal_labels"] and len(registry.chosen()) > 100
     with pytest.raises(KeyError):
         registry.chosen(["none"])
+
+
+def test_catalog_of_the_study(spark, tmp_path):
+    c = catalog.Catalog(catalog.STUDY, "/data/")
+    assert c.path("flips") == "/data/flips.parquet" and c.names(kind="results") == ["trials"] and len(c.names()) == 8
+    assert c.names("transformed", "dumps") == ["toxicity_scores"] and c.entry("trials").phase == "phase 2 part 2"
+    (tmp_path / "x.csv").write_text("a,b\n1,x\n")
+    assert catalog.csv(spark, str(tmp_path / "x.csv"), lines=True, infer=True).dtypes == [("a", "int"), ("b", "string")]

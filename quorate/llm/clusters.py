@@ -107,6 +107,27 @@ def _meeting(a: DataFrame, b: DataFrame) -> DataFrame:
     return met.where(F.col("ra") * F.col("rb") >= NEAR).select("a", "b").distinct()
 
 
+def _lists(words: DataFrame, key: str, x: str) -> DataFrame:
+    """key, ts (hashes of its words) and us (their weights)."""
+    d = words.groupBy(key).agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), F.col(x).cast("float").alias("u"))).alias("w"))
+    return d.select(key, F.transform("w", lambda w: w["t"]).alias("ts"), F.transform("w", lambda w: w["u"]).alias("us"))
+
+
+def _close(pairs: DataFrame) -> DataFrame:
+    """The (form, comp) of rows (form, comp, ts, us, tc, uc) whose words have a dot product of NEAR."""
+
+    def dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row = [np.repeat(np.arange(b.num_rows, dtype=np.int64), b.column(i).value_lengths().to_numpy(zero_copy_only=False)) for i in (2, 4)]
+            keys = [b.column(i).flatten().to_numpy(zero_copy_only=False) ^ r * np.int64(0x9E3779B97F4A7C1) for i, r in zip((2, 4), row, strict=True)]
+            _, i, j = np.intersect1d(*keys, return_indices=True)
+            products = b.column(3).flatten().to_numpy(zero_copy_only=False)[i] * b.column(5).flatten().to_numpy(zero_copy_only=False)[j]
+            near = np.bincount(row[0][i], products, b.num_rows) >= NEAR
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(near)) for c in (0, 1)], names=["form", "comp"])
+
+    return pairs.mapInArrow(dots, "form long, comp long")
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """The rows of a list column of one length."""
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
@@ -254,9 +275,9 @@ def _word_sums(placed: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def _common(sums: DataFrame, stats: DataFrame) -> DataFrame:
-    """term, key (the component) and ahead of the common words of each component of two records or more."""
+    """term, key (the component), ahead and m (weight in the unit vector) of the common words of each component of two records or more."""
     common = sums.join(stats.where("n >= 2").select("comp", "n"), "comp").where(F.col("c") >= COMMON * F.col("n"))
-    return _ahead(common.withColumn("m", F.col("s") / F.col("n")), "comp", "m").select("term", F.col("comp").alias("key"), "ahead")
+    return _ahead(common.withColumn("m", F.col("s") / F.col("n")), "comp", "m").select("term", F.col("comp").alias("key"), "ahead", (F.col("m") / F.col("norm")).alias("m"))
 
 
 def _variances() -> Column:
@@ -265,11 +286,14 @@ def _variances() -> Column:
     return F.greatest(F.lit(FLOOR), (F.col("n") * spread + PRIOR * FLOOR) / (F.col("n") + PRIOR))
 
 
-def _weighed(placed: DataFrame, terms: DataFrame) -> DataFrame:
+def _weighed(placed: DataFrame, terms: DataFrame, lists: DataFrame) -> DataFrame:
     """form, weight, x, comp, d and moved: every record with the component of greatest density; d is the squared distance per dimension from the mean of the others."""
     stats = stage(_stats(placed), "cluster-stats")
-    common = _common(_word_sums(placed, terms), stats)
-    met = _meeting(terms.where(F.col("count") >= LEAST).select("term", F.col("form").alias("key"), "ahead"), common).toDF("form", "comp")
+    common = stage(_common(_word_sums(placed, terms), stats), "cluster-common")
+    met = _meeting(terms.where(F.col("count") >= LEAST).select("term", F.col("form").alias("key"), "ahead"), common.select("term", "key", "ahead")).toDF("form", "comp")
+    # Words are lighter than projections: only pairs that pass by them get theirs.
+    of_comps = _lists(common, "key", "m").toDF("comp", "tc", "uc")
+    met = _close(met.join(lists, "form").join(of_comps, "comp").select("form", "comp", "ts", "us", "tc", "uc"))
     own = placed.select("form", "comp")
     pairs = met.unionByName(own).distinct().join(placed.select("form", "weight", "x", F.col("comp").alias("was")), "form")
     pairs = pairs.join(stats.select("comp", "n", "mean", _variances().alias("v")), "comp").join(stats.select(F.col("comp").alias("was"), F.col("n").alias("n0")), "was")
@@ -296,11 +320,11 @@ def _weighed(placed: DataFrame, terms: DataFrame) -> DataFrame:
     return stage(placed.select("form", "weight", "x").join(best, "form").select("form", "weight", "x", "b.comp", "b.d", (F.col("b.comp") != F.col("was")).alias("moved")), "cluster-weighed")
 
 
-def _settle(placed: DataFrame, terms: DataFrame, n: float) -> DataFrame:
+def _settle(placed: DataFrame, terms: DataFrame, lists: DataFrame, n: float) -> DataFrame:
     """Expectation-maximisation until at most SETTLED of the records move, or no fewer than before."""
     before = np.inf
     while True:
-        placed = _weighed(placed, terms)
+        placed = _weighed(placed, terms, lists)
         now = placed.where("moved").agg(F.sum("weight")).first()[0] or 0
         if now <= SETTLED * n or now >= before:
             return placed
@@ -313,6 +337,7 @@ def _unions(stats: DataFrame, common: DataFrame) -> DataFrame:
     ``h`` records tell the two means apart; beyond TOLD they tell nothing new
     (records of one wording are no independent witnesses).
     """
+    common = common.select("term", "key", "ahead")
     near = _meeting(common, common).where("a < b")
     s = stats.where("n >= 2").select("comp", "n", "mean")
     met = near.join(s.toDF("a", "na", "ma"), "a").join(s.toDF("b", "nb", "mb"), "b")
@@ -369,8 +394,9 @@ def cluster(df: DataFrame, key: str, text: str, beside: str | None = None) -> Da
     # Records without a shared word count for the scales only.
     vectors = stage(_standardised(raw.where("rare IS NOT NULL"), *_scales(raw)), "cluster-vectors")
     placed = stage(_components(_layouts(vectors)), "cluster-placed")
-    placed = _settle(placed, terms, n)
-    placed = _settle(_united(placed, terms), terms, n)
+    lists = stage(_lists(terms.where(F.col("count") >= LEAST), "form", "u"), "cluster-lists")
+    placed = _settle(placed, terms, lists, n)
+    placed = _settle(_united(placed, terms), terms, lists, n)
     found = members.join(placed.where(F.col("d") <= FARTHEST).select("form", "comp", "d"), "form")
     named = found.groupBy("comp").agg(F.min("key").alias("cluster_key"), F.count("*").alias("size")).where(F.col("size") >= LEAST)
     return found.join(named, "comp").select(F.col("key").alias("feature_id"), "cluster_key", "size", (-F.col("d")).alias("density"))

@@ -155,6 +155,8 @@ def tiled(a: list[str], b: list[str], shortest: int = 3) -> int:
 PAIRED = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "「": "」", "『": "』", "„": "“", "（": "）", "【": "】"}
 CLOSERS = set(PAIRED.values())
 MARKUP = regex.compile(r"<(/?)([a-zA-Z][\w-]*)[^<>]*?(/?)>")
+#: The signs that the parser stops at.
+SIGN = regex.compile("```|[`\"<" + "".join(regex.escape(c) for c in (*PAIRED, *CLOSERS)) + "]")
 VOID_TAGS = {"br", "hr", "img", "input", "meta", "link", "wbr"}
 
 
@@ -167,18 +169,23 @@ def left_open(text: str) -> list[str]:
     of a face, and a backtick within a word, open nothing.
     """
     stack: list[str] = []
-    i = 0
-    while i < len(text):
-        c = text[i]
-        if text.startswith("```", i) and (not stack or stack[-1] != "`"):
-            if stack and stack[-1] == "```":
-                stack.pop()
-            else:
-                stack.append("```")
-            i += 3
+    past = 0
+    for m in SIGN.finditer(text):
+        i, c = m.start(), m.group()
+        if i < past:
+            continue
+        if c == "```":
+            if not stack or stack[-1] != "`":
+                if stack and stack[-1] == "```":
+                    stack.pop()
+                else:
+                    stack.append("```")
+                continue
+            # Within inline code its first sign closes that.
+            stack.pop()
+            past = i + 1
             continue
         if stack and stack[-1] == "```":
-            i += 1
             continue
         if c == "`":
             if stack and stack[-1] == "`":
@@ -186,7 +193,7 @@ def left_open(text: str) -> list[str]:
             elif not (i and text[i - 1].isalnum()):
                 stack.append("`")
         elif stack and stack[-1] == "`":
-            pass
+            continue
         elif c == '"':
             if '"' in stack:
                 del stack[len(stack) - 1 - stack[::-1].index('"') :]
@@ -202,20 +209,16 @@ def left_open(text: str) -> list[str]:
                 if PAIRED.get(stack[k]) == c:
                     del stack[k:]
                     break
-        elif c == "<":
-            m = MARKUP.match(text, i)
-            if m:
-                name = m.group(2).lower()
-                if m.group(1):
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k] == f"<{name}>":
-                            del stack[k:]
-                            break
-                elif not m.group(3) and name not in VOID_TAGS:
-                    stack.append(f"<{name}>")
-                i = m.end()
-                continue
-        i += 1
+        elif tag := MARKUP.match(text, i):
+            name = tag.group(2).lower()
+            if tag.group(1):
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k] == f"<{name}>":
+                        del stack[k:]
+                        break
+            elif not tag.group(3) and name not in VOID_TAGS:
+                stack.append(f"<{name}>")
+            past = tag.end()
     return stack
 
 
@@ -328,18 +331,28 @@ def is_refusal(text: str) -> bool:
     return HINT.search(head) is not None and any(p.search(head) for p in REFUSALS)
 
 
+def without_marks(text: str) -> str:
+    """The text without links and repost marks."""
+    if "http" in text or "www." in text:
+        text = LINK.sub(" ", text)
+    return REPOST.sub(" ", text) if "@" in text else text
+
+
+PICTURE = regex.compile(r"[\p{Extended_Pictographic}--[0-9#*©®™]]", regex.V1)
+
+
 def is_empty(text: str | None) -> bool:
     if text is None:
         return True
     words = WORD.findall(text)
     if not words:
-        return not regex.search(r"[\p{Extended_Pictographic}--[0-9#*©®™]]", text, regex.V1)
+        return not PICTURE.search(text)
     return len(words) <= 4 and " ".join(words).casefold() in PLACEHOLDERS
 
 
 def is_copy(original: str, response: str) -> bool:
     """Whether the response is the original, at most lightly changed."""
-    strip = lambda t: [w.casefold().replace("’", "'") for w in WORD.findall(REPOST.sub(" ", LINK.sub(" ", t)))]
+    strip = lambda t: [w.casefold().replace("’", "'") for w in WORD.findall(without_marks(t))]
     a, b = strip(original), strip(response)
     if not a or not b:
         return bool(original.strip()) and original.strip() == response.strip()
@@ -357,6 +370,10 @@ def is_copy(original: str, response: str) -> bool:
 OPEN_ENDS = set(",;:-–—(/&+=<“„«")
 
 
+LIST_ITEM = regex.compile(r"\n\s*(?:[-*•]|\d+[.)])\s*$")
+FACE = regex.compile(r"[:;]-?[-)(]$")
+
+
 def unfinished(text: str) -> bool | list[str]:
     """Whether something is left open or a sign must go on; if only the last word can tell, the words that must be in order."""
     body = TAIL.sub("", text.rstrip())
@@ -366,9 +383,9 @@ def unfinished(text: str) -> bool | list[str]:
     if left_open(body):
         return True
     last = body[-1]
-    if last in OPEN_ENDS and not (last in "-–—" and body != text.rstrip()) and not regex.search(r"[:;]-?[-)(]$", body):
+    if last in OPEN_ENDS and not (last in "-–—" and body != text.rstrip()) and not FACE.search(body):
         return True
-    if regex.search(r"\n\s*(?:[-*•]|\d+[.)])\s*$", text.rstrip(" ")):
+    if "\n" in text and LIST_ITEM.search(text.rstrip(" ")):
         return True
     core = body.rstrip("\"'”’»)]}*_ ")
     if not core or core[-1] in STOP or core != body.rstrip("'’*_ "):
@@ -393,7 +410,7 @@ def is_truncated(text: str, endings: Endings) -> bool:
 def other_language(source: str, text: str, profiles: Profiles | None) -> bool:
     """Whether the text is mainly in another language than the source."""
     if profiles is not None:
-        return profiles.differ(LINK.sub(" ", source), LINK.sub(" ", text))
+        return profiles.differ(without_marks(source), without_marks(text))
     a, b = language(source), language(text)
     return a is not None and b is not None and a != b
 

@@ -64,11 +64,11 @@ def learn(df: DataFrame, text: str, label: str) -> dict[str, np.ndarray]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         for b in batches:
+            found: dict[str, list[np.ndarray]] = {}
             for name, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                g = trigrams(t)
-                if name not in held:
-                    held[name] = np.zeros(COUNTERS, np.int64)
-                np.add.at(held[name], g, 1)
+                found.setdefault(name, []).append(trigrams(t))
+            for name, grams in found.items():
+                held[name] = held.get(name, 0) + np.bincount(np.concatenate(grams), minlength=COUNTERS)
         for name, n in held.items():
             there = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(there), pa.string()), pa.array(there), pa.array(n[there])], names=["l", "g", "n"])

@@ -31,7 +31,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorate.staging import stage
+from quorate.staging import discard, stage
 
 #: Reduced dimensions, a multiple of 64.
 DIMENSIONS = 192
@@ -287,7 +287,7 @@ def _variances() -> Column:
 
 
 def _weighed(placed: DataFrame, terms: DataFrame, lists: DataFrame) -> DataFrame:
-    """form, weight, x, comp, d and moved: every record with the component of greatest density; d is the squared distance per dimension from the mean of the others."""
+    """form, weight, x, comp, d and moved, in place of ``placed``: every record with the component of greatest density; d is the squared distance per dimension from the mean of the others."""
     stats = stage(_stats(placed), "cluster-stats")
     common = stage(_common(_word_sums(placed, terms), stats), "cluster-common")
     met = _meeting(terms.where(F.col("count") >= LEAST).select("term", F.col("form").alias("key"), "ahead"), common.select("term", "key", "ahead")).toDF("form", "comp")
@@ -317,7 +317,10 @@ def _weighed(placed: DataFrame, terms: DataFrame, lists: DataFrame) -> DataFrame
 
     scored = pairs.mapInArrow(weigh, "form long, weight long, was long, comp long, score double, d double")
     best = scored.groupBy("form").agg(F.max_by(F.struct("comp", "d"), F.struct("score", "comp")).alias("b"), F.first("was").alias("was"))
-    return stage(placed.select("form", "weight", "x").join(best, "form").select("form", "weight", "x", "b.comp", "b.d", (F.col("b.comp") != F.col("was")).alias("moved")), "cluster-weighed")
+    done = stage(placed.select("form", "weight", "x").join(best, "form").select("form", "weight", "x", "b.comp", "b.d", (F.col("b.comp") != F.col("was")).alias("moved")), "cluster-weighed")
+    for used in (stats, common, placed):
+        discard(used)
+    return done
 
 
 def _settle(placed: DataFrame, terms: DataFrame, lists: DataFrame, n: float) -> DataFrame:

@@ -1,40 +1,45 @@
-"""Same or near-same texts across two splits, by a weighted cosine join.
-
-Texts become unit vectors of word trigrams, weighted by rarity between 1 and
-1.25, and both splits' vectors are laid in inverted lists. Terms are ordered by
-rarity. Where a term is the first one that two texts share, their cosine is at
-most the product of the norms of what is left of both vectors from that term on.
-So a text enters a term's list only if the norm of the rest of it, times the
-greatest such norm in the other split's list, reaches ``COSINE``, and two texts
-meet only where the product does. What they share before that term has met them
-already, so no pair of cosine ``COSINE`` or more is lost. Pairs that meet get
-their exact dot product and the exact share of words in common order.
-
-The rarity bound makes the filter safe: where four fifths of the words are
-shared in runs, at least two fifths of the trigrams are, and no weighting
-within 1 to 1.25 brings their cosine below 0.3.
+"""Same or near-same texts across two splits, by the bigrams of words they must share.
+
+Two texts of na and nb words, L of them in common order, have d = na + nb - 2 L
+other words. Each of these parts the common words at one place at most, so the
+texts share at least L + 1 - d bigrams (both ends of a text count as words).
+Where L is the share ``SHARED`` of all words, that is more than an eighth of
+na + nb: no pair is lost, wherever the differing words lie.
+
+Texts become inverted lists of their rarest bigrams, as many as leave less than
+what a pair must share. Lists live in memory only: the texts of each split are
+packed into blocks of words, every block of one split meets every block of the
+other in a task, and only the pairs that are alike leave it. Texts that meet in
+a list often enough are held against each other by signatures of their words,
+then by their words, then by the words in common order.
 
 Equal normalised texts form a class that is compared once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quorate.llm.lookalike import Rewriter, frequencies, rewriter_of
 from quorate.llm.shared import Shared
-from quorate.staging import stage
-
-COSINE = 0.29
-#: Postings of one term that a task joins at most; longer lists are spread over more join keys.
-HOT = 5000
+from quorate.staging import discard, stage
+
+#: Words of a block (of one text at least), and of the blocks that a task reads on the right.
+BLOCK = 1 << 21
+RIGHT = 1 << 24
+#: Rare bigrams in common before two texts are held against each other.
+MEET = 4
+#: Pairs that are held against each other at once.
+AT_ONCE = 1 << 14
 #: Least share of words in common order; between the four fifths of true cases and the two thirds of others.
 SHARED = 0.75
 
@@ -66,10 +71,11 @@ def shared_in_order(a: list[str], b: list[str]) -> float:
     return 2 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
-def classes(df: DataFrame, key: str, text: str, counts: Mapping[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Members (key, class) and classes (class, words) of equal normalised texts.
+def classes(df: DataFrame, key: str, text: str, flags: list[str], counts: Mapping[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Members (key, class, flags) and classes (class, words, flags) of equal normalised texts.
 
-    A text without words is its own normalised form. Null texts drop out.
+    A text without words is its own normalised form. Null texts drop out. A class
+    has the flags that any member has.
     """
     counts = frequencies(df, text) if counts is None else counts
     shared = Shared(df.sparkSession.sparkContext, dict(counts))
@@ -79,84 +85,250 @@ def classes(df: DataFrame, key: str, text: str, counts: Mapping[str, int] | None
         plain = rewriter_of(shared)
         return batch.map(lambda t: None if t is None else " ".join(words(t, plain)) or "\t" + t.strip())
 
-    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), normal(F.col(text)).alias("words"))
-    rows = stage(rows.withColumn("class", F.sha2("words", 256)).distinct(), "overlap-texts")
-    return rows.select("key", "class"), rows.groupBy("class").agg(F.first("words").alias("words"))
-
-
-def _vectors(texts: DataFrame) -> DataFrame:
-    """Terms of each class: class, term, df, u (unit weight) and ahead (norm from here on, rarest first)."""
-    w = F.split(F.concat(F.lit("^ "), F.col("words"), F.lit(" $")), " ")
-    terms = texts.where(~F.col("words").startswith("\t")).withColumn("w", w).select("class", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.xxhash64(F.col("w")[i - 1], F.col("w")[i], F.col("w")[i + 1]))).alias("term"))
-    tf = stage(terms.groupBy("class", "term").agg(F.count("*").alias("tf")), "overlap-terms")
-    frequency = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = max(2, texts.count())
-    weighted = tf.join(frequency, "term").withColumn("x", F.sqrt("tf") * (1 + 0.25 * F.log(F.lit(float(n)) / F.col("df")) / F.log(F.lit(float(n)))))
-    all_terms = Window.partitionBy("class")  # as many rows as the text has words
-    rare_first = all_terms.orderBy("df", "term").rowsBetween(Window.unboundedPreceding, 0)
-    squared = F.col("x") * F.col("x")
-    v = weighted.withColumn("norm2", F.sum(squared).over(all_terms)).withColumn("upto", F.sum(squared).over(rare_first))
-    return v.select(
-        "class",
-        "term",
-        "df",
-        (F.col("x") / F.sqrt("norm2")).alias("u"),
-        F.sqrt(F.greatest(F.lit(0.0), 1 - (F.col("upto") - squared) / F.col("norm2"))).alias("ahead"),
-    )
-
-
-def _lists(vectors: DataFrame, left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings (term, class, size, ahead, copies) of both sides that can meet a posting of the other one."""
-    sides = [vectors.where((F.col("df") > 1) & (F.col("ahead") >= COSINE)).join(s, "class", "left_semi") for s in (left, right)]
-    most = [s.groupBy("term").agg(F.max("ahead").alias("top"), F.count("*").alias("n")) for s in sides]
-    met = [s.join(m.select("term", "top"), "term").where(F.col("ahead") * F.col("top") >= COSINE) for s, m in zip(sides, reversed(most), strict=True)]
-    hot = met[0].groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("term", F.ceil(F.col("n") / HOT).cast("int").alias("copies"))
-    return tuple(s.select("term", "class", "size", "ahead").join(hot, "term", "left").withColumn("copies", F.coalesce("copies", F.lit(1))) for s in met)
-
-
-def near_classes(texts: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (a, b, cosine, shared) of classes, a of ``left`` and b of ``right`` (columns class), a != b."""
-    vectors = stage(_vectors(texts), "overlap-vectors")
-    sizes = texts.select("class", F.size(F.split("words", " ")).alias("size"))
-    a, b = _lists(vectors.join(sizes, "class"), left, right)
-    # A long list of the left is parted, that of the right copied for each part.
-    a = a.select("term", F.col("class").alias("a"), F.col("size").alias("na"), F.col("ahead").alias("ra"), F.pmod(F.xxhash64("class"), F.col("copies")).alias("part"))
-    b = b.select("term", F.col("class").alias("b"), F.col("size").alias("nb"), F.col("ahead").alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies").cast("long") - 1)).alias("part"))
-    # Words in common order are at most those of the shorter text.
-    alike = 2 * F.least("na", "nb") >= SHARED * (F.col("na") + F.col("nb"))
-    met = stage(a.join(b, ["term", "part"]).where(alike & (F.col("ra") * F.col("rb") >= COSINE) & (F.col("a") != F.col("b"))).select("a", "b").distinct(), "overlap-met")
-    whole = vectors.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("term", "u"))).alias("v")).join(texts, "class")
-    whole = stage(whole.select("class", F.transform("v", lambda s: s["term"]).alias("terms"), F.transform("v", lambda s: s["u"]).alias("us"), "words"), "overlap-whole")
-    for side in ("a", "b"):
-        met = met.join(whole.select(F.col("class").alias(side), F.col("terms").alias(f"t{side}"), F.col("us").alias(f"u{side}"), F.col("words").alias(f"w{side}")), side)
-
-    @F.pandas_udf("cosine double, shared double")
-    def exact(ta: pd.Series, ua: pd.Series, wa: pd.Series, tb: pd.Series, ub: pd.Series, wb: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t1, u1, w1, t2, u2, w2 in zip(ta, ua, wa, tb, ub, wb, strict=True):
-            at = np.minimum(np.searchsorted(t1, t2), len(t1) - 1)
-            same = t1[at] == t2
-            cosine = float(np.dot(u1[at[same]], u2[same]))
-            rows.append((cosine, shared_in_order(w1.split(" "), w2.split(" ")) if cosine >= COSINE else 0.0))
-        return pd.DataFrame(rows, columns=["cosine", "shared"])
-
-    scored = met.withColumn("s", exact("ta", "ua", "wa", "tb", "ub", "wb"))
-    return scored.select("a", "b", "s.cosine", "s.shared").where((F.col("cosine") >= COSINE) & (F.col("shared") >= SHARED))
+    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), normal(F.col(text)).alias("words"), *flags)
+    rows = stage(rows.withColumn("class", F.unhex(F.sha2("words", 256))), "overlap-texts")
+    return rows.groupBy("key", "class").agg(*[F.max(f).alias(f) for f in flags]), rows.groupBy("class").agg(F.first("words").alias("words"), *[F.max(f).alias(f) for f in flags])
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each ``begin`` on, ``size`` of them, one after another."""
+    end = np.cumsum(size)
+    return np.repeat(begin - end + size, size) + np.arange(end[-1] if len(end) else 0)
+
+
+def _starts(rows: np.ndarray, n: int) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))])
+
+
+def _nth(ordered: np.ndarray) -> np.ndarray:
+    """How many equal values stand before each one."""
+    at = np.arange(len(ordered))
+    return at - np.maximum.accumulate(np.where(np.append(True, ordered[1:] != ordered[:-1])[: len(at)], at, 0))
+
+
+def _least_common(total: np.ndarray) -> np.ndarray:
+    """Words in common order that texts of ``total`` words together must have."""
+    return np.ceil(SHARED * total / 2 - 1e-9).astype(np.int64)
+
+
+def _least_bigrams(n: np.ndarray) -> np.ndarray:
+    """Bigrams that a text of ``n`` words shares at least with any text like it (the shortest of which has n SHARED / (2 - SHARED) words)."""
+    return np.maximum(1, np.ceil((1.5 * SHARED - 1) * n * 2 / (2 - SHARED) + 1 - 1e-9)).astype(np.int64)
+
+
+class _Texts:
+    """Texts of a block as numbers of words, -1 for words without a number; the shortest text comes first."""
+
+    def __init__(self, block: dict, number: Mapping[str, int] | None = None):
+        vocabulary = block["vocabulary"].split(" ")
+        self.number = {w: i for i, w in enumerate(vocabulary)} if number is None else number
+        n = np.frombuffer(block["sizes"], np.int32).astype(np.int64)
+        order = np.argsort(n, kind="stable")
+        tokens = np.frombuffer(block["tokens"], np.int32)[_ranges((np.cumsum(n) - n)[order], n[order])]
+        self.n = n[order]
+        self.words = tokens.astype(np.int64) if number is None else np.array([number.get(w, -1) for w in vocabulary])[tokens]
+        self.at = np.concatenate([[0], np.cumsum(self.n)])
+        self.classes = [block["classes"][32 * i : 32 * i + 32] for i in order.tolist()]
+        # Words that stand in a text for the second time are words of their own from here on.
+        rows = np.repeat(np.arange(len(n)), self.n)
+        known = self.words >= 0
+        ordered = np.sort(rows[known] * len(self.number) + self.words[known])
+        self.sets = ordered % len(self.number) + _nth(ordered) * len(self.number)
+        self.sets_at = _starts(ordered // len(self.number), len(n))
+        # Words that the other block lacks count by none of their bits, which only lets more pairs pass.
+        bit = (self.sets * 0x9E3779B1 >> 7) % 512
+        self.signs = np.zeros((len(n), 8), np.uint64)
+        np.bitwise_or.at(self.signs, (ordered // len(self.number), bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+        self.unknown = self.n - np.diff(self.sets_at)
+
+    def bigrams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Text and number of each bigram, -1 where a word has no number."""
+        size = self.n + 1
+        rows = np.repeat(np.arange(len(size)), size)
+        v = len(self.number)
+        ahead = np.insert(self.words, self.at[:-1], v)
+        behind = np.insert(self.words, self.at[1:], v)
+        return rows, np.where((ahead < 0) | (behind < 0), -1, ahead * (v + 1) + behind)
+
+    def said(self, i: int) -> list[int]:
+        return self.words[self.at[i] : self.at[i + 1]].tolist()
+
+
+class _Lists:
+    """Inverted lists of the rarest bigrams of a block's texts."""
+
+    def __init__(self, block: dict):
+        self.texts = _Texts(block)
+        rows, keys = self.texts.bigrams()
+        self.keys, number = np.unique(keys, return_inverse=True)
+        ordered = np.sort(rows * len(self.keys) + number)
+        rows, number, nth = ordered // len(self.keys), ordered % len(self.keys), _nth(ordered)
+        again = nth > 0
+        self.repeats = np.unique(number[again] + nth[again] * len(self.keys))
+        number[again] = len(self.keys) + np.searchsorted(self.repeats, number[again] + nth[again] * len(self.keys))
+        n_bigrams = len(self.keys) + len(self.repeats)
+        self.rank = np.empty(n_bigrams, np.int64)
+        self.rank[np.argsort(np.bincount(number, minlength=n_bigrams), kind="stable")] = np.arange(n_bigrams)
+        size = self.texts.n + 1
+        least = _least_bigrams(self.texts.n)
+        #: Texts before this one, the shortest, may share less than MEET bigrams with their like.
+        self.short = int(np.searchsorted(least, MEET))
+        rows, rank = self.rarest(rows, number, size - least + np.minimum(MEET, least))
+        ordered = np.sort(rank * len(size) + rows)
+        self.rows = ordered % len(size)
+        self.starts = _starts(ordered // len(size), n_bigrams)
+
+    def rarest(self, rows: np.ndarray, number: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Text and rank of the ``most`` rarest bigrams of each text."""
+        ordered = np.sort(rows * len(self.rank) + self.rank[number])
+        rows, rank = ordered // len(self.rank), ordered % len(self.rank)
+        kept = np.arange(len(rows)) - _starts(rows, len(most))[rows] < most[rows]
+        return rows[kept], rank[kept]
+
+    def found(self, texts: _Texts) -> tuple[np.ndarray, np.ndarray]:
+        """Text and number of the bigrams that this block has too."""
+        rows, keys = texts.bigrams()
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        known = (self.keys[at] == keys) & (keys >= 0)
+        ordered = np.sort(rows[known] * len(self.keys) + at[known])
+        rows, number, nth = ordered // len(self.keys), ordered % len(self.keys), _nth(ordered)
+        known = nth == 0
+        if len(self.repeats):
+            again = number + nth * len(self.keys)
+            at = np.minimum(np.searchsorted(self.repeats, again), len(self.repeats) - 1)
+            known |= self.repeats[at] == again
+            number = np.where(nth == 0, number, len(self.keys) + at)
+        return rows[known], number[known]
+
+    def alike(self, block: dict) -> Iterator[tuple[bytes, bytes]]:
+        """Classes of this block and of ``block`` that are alike."""
+        left, right = self.texts, _Texts(block, self.texts.number)
+        rows, number = self.found(right)
+        least = _least_bigrams(right.n)
+        meet = np.minimum(MEET, least)
+        # Bigrams that this block lacks are the rarest of all.
+        lacking = right.n + 1 - np.bincount(rows, minlength=len(right.n))
+        rows, rank = self.rarest(rows, number, right.n + 1 - least + meet - lacking)
+        at = _starts(rows, len(right.n))
+        begin, end = self.starts[rank].tolist(), self.starts[rank + 1].tolist()
+        # Texts of these lengths only can have enough words in common.
+        low = np.searchsorted(left.n, np.ceil(right.n * SHARED / (2 - SHARED) - 1e-9))
+        high = np.searchsorted(left.n, np.floor(right.n * (2 - SHARED) / SHARED + 1e-9), "right")
+        counts = np.zeros(len(left.n), np.min_scalar_type(int(np.diff(at).max(initial=0))))
+        one = counts.dtype.type(1)
+        pairs: list[tuple[np.ndarray, int]] = []
+        waiting = 0
+        for j in range(len(right.n)):
+            if at[j] == at[j + 1] or low[j] >= high[j]:
+                continue
+            np.add.at(counts, np.concatenate([self.rows[begin[k] : end[k]] for k in range(at[j], at[j + 1])]), one)
+            met = np.flatnonzero(counts[low[j] : high[j]] >= meet[j]) + low[j]
+            if low[j] < self.short:
+                met = np.union1d(met, np.flatnonzero(counts[low[j] : self.short]) + low[j])
+            counts[:] = 0
+            if len(met):
+                pairs.append((met, j))
+                waiting += len(met)
+            if waiting >= AT_ONCE:
+                yield from self._compare(left, right, pairs)
+                pairs, waiting = [], 0
+        yield from self._compare(left, right, pairs)
+
+    @staticmethod
+    def _compare(left: _Texts, right: _Texts, pairs: list[tuple[np.ndarray, int]]) -> Iterator[tuple[bytes, bytes]]:
+        if not pairs:
+            return
+        a = np.concatenate([met for met, _ in pairs])
+        b = np.repeat([j for _, j in pairs], [len(met) for met, _ in pairs])
+        least = _least_common(left.n[a] + right.n[b])
+        fits = np.minimum(left.n[a], right.n[b] - right.unknown[b]) >= least
+        a, b, least = a[fits], b[fits], least[fits]
+        apart = np.bitwise_count(left.signs[a] & ~right.signs[b]).sum(axis=1, dtype=np.int64)
+        fits = left.n[a] - apart >= least
+        a, b, least = a[fits], b[fits], least[fits]
+        for i, j, enough in zip(a.tolist(), b.tolist(), least.tolist(), strict=True):
+            x, y = (t.sets[t.sets_at[k] : t.sets_at[k + 1]] for t, k in ((left, i), (right, j)))
+            if len(np.intersect1d(x, y, assume_unique=True)) >= enough and left.classes[i] != right.classes[j] and shared_in_order(left.said(i), right.said(j)) >= SHARED:
+                yield left.classes[i], right.classes[j]
+
+
+def _blocks(texts: DataFrame) -> DataFrame:
+    """Blocks (side, n_words, classes, vocabulary, tokens, sizes) of the texts of both sides, which have any words."""
+
+    def packed(side: str, classes_: list[pa.Array], said: list[pa.Array]) -> pa.RecordBatch:
+        lists = pa.chunked_array(said).combine_chunks()
+        flat = lists.flatten().dictionary_encode()
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int32)
+        row = {"side": side, "n_words": len(flat), "classes": b"".join(c for part in classes_ for c in part.to_pylist()), "vocabulary": " ".join(flat.dictionary.to_pylist()), "tokens": flat.indices.to_numpy(zero_copy_only=False).astype(np.int32).tobytes(), "sizes": sizes.tobytes()}
+        return pa.RecordBatch.from_pylist([row])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {side: ([], []) for side in ("train", "test")}
+        n_words = dict.fromkeys(held, 0)
+        for batch in batches:
+            said = pc.split_pattern(batch.column("words"), " ")
+            for side, (classes_, lists) in held.items():
+                chosen = pc.fill_null(batch.column(side), False)
+                ids, own = batch.column("class").filter(chosen), said.filter(chosen)
+                ends = np.cumsum(pc.list_value_length(own).to_numpy(zero_copy_only=False))
+                at = 0
+                while at < len(own):
+                    before = ends[at - 1] if at else 0
+                    upto = max(at + 1, int(np.searchsorted(ends, before + BLOCK - n_words[side], "right")))
+                    classes_.append(ids.slice(at, upto - at))
+                    lists.append(own.slice(at, upto - at))
+                    n_words[side] += int(ends[upto - 1] - before)
+                    at = upto
+                    if at < len(own) or n_words[side] >= BLOCK:
+                        yield packed(side, classes_, lists)
+                        classes_.clear(), lists.clear()
+                        n_words[side] = 0
+        for side, (classes_, lists) in held.items():
+            if lists:
+                yield packed(side, classes_, lists)
+
+    return texts.where(~F.col("words").startswith("\t")).select("class", "words", "train", "test").mapInArrow(pack, "side string, n_words long, classes binary, vocabulary string, tokens binary, sizes binary")
+
+
+def near_classes(texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes, a != b, a with the flag train and b with the flag test, whose words are alike."""
+    blocks = stage(_blocks(texts), "overlap-blocks")
+    columns = ("classes", "vocabulary", "tokens", "sizes")
+    of = lambda side: blocks.where(F.col("side") == side).select(F.struct(*columns).alias(side))
+    n_words = blocks.where("side = 'test'").agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
+    # A task makes the lists of a block once and reads many blocks of the other side against them.
+    both = of("train").hint("shuffle_replicate_nl").join(of("test").coalesce(1 + n_words // RIGHT))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, lists = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                left, right = batch.column("train")[i], batch.column("test")[i]
+                if (ids := left["classes"].as_py()) != held:
+                    held, lists = ids, _Lists(left.as_py())
+                pairs = list(lists.alike(right.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    near = stage(both.mapInArrow(meet, "a binary, b binary"), "overlap-near")
+    discard(blocks)
+    return near
 
 
 def _linked(df: DataFrame, key: str, text: str, train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Posts (key, train, test) of the splits, members (key, class, train, test), and links (a, b) of classes, a of train and b of test."""
-    train, test = (s.select(F.col(s.columns[0]).alias("key")).where("key IS NOT NULL").distinct() for s in (train, test))
+    """Posts in both splits (key), members (key, class, train, test), and links (a, b) of classes, a of train and b of test."""
+    no = F.lit(None).cast("boolean")
+    ids = [s.select(F.col(s.columns[0]).alias("key"), *[(F.lit(True) if own else no).alias(f) for f, own in (("train", k == 0), ("test", k == 1))]) for k, s in enumerate((train, test))]
+    flags = ids[0].unionByName(ids[1]).where("key IS NOT NULL").groupBy("key").agg(F.max("train").alias("train"), F.max("test").alias("test"))
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    marked = rows.join(train.withColumn("train", F.lit(True)), "key", "left").join(test.withColumn("test", F.lit(True)), "key", "left").where("train OR test")
-    marked = stage(marked, "overlap-posts")
-    members, texts = classes(marked, "key", "text")
-    members = stage(members.join(marked.select("key", "train", "test").distinct(), "key"), "overlap-members")
-    texts = stage(texts, "overlap-classes")
-    left, right = members.where("train").select("class").distinct(), members.where("test").select("class").distinct()
-    near = near_classes(texts, left, right).select("a", "b")
-    same = left.join(right, "class", "left_semi").select(F.col("class").alias("a"), F.col("class").alias("b"))
-    return marked.select("key", "train", "test").distinct(), members, stage(near.unionByName(same), "overlap-links")
+    marked = stage(rows.join(flags, "key"), "overlap-posts")
+    members, texts = classes(marked, "key", "text", ["train", "test"])
+    members = stage(members, "overlap-members")
+    twice = stage(marked.where("train AND test").select("key").distinct(), "overlap-twice")
+    near = near_classes(texts)
+    for done in (marked, texts):
+        discard(done)
+    same = members.groupBy("class").agg(F.max("train").alias("train"), F.max("test").alias("test")).where("train AND test").select(F.col("class").alias("a"), F.col("class").alias("b"))
+    return twice, members, stage(near.unionByName(same), "overlap-links")
 
 
 def cross_split(df: DataFrame, key: str, text: str, train: DataFrame, test: DataFrame) -> DataFrame:
@@ -168,8 +340,8 @@ def cross_split(df: DataFrame, key: str, text: str, train: DataFrame, test: Data
     drop out. Empty tables give no pairs. Copies are expanded into all pairs
     here; :func:`overlaps` is the form without that.
     """
-    posts, members, links = _linked(df, key, text, train, test)
-    twice = posts.where("train AND test").select(F.col("key").alias("message_id_a"), F.col("key").alias("message_id_b"))
+    twice, members, links = _linked(df, key, text, train, test)
+    twice = twice.select(F.col("key").alias("message_id_a"), F.col("key").alias("message_id_b"))
     of = lambda side, flag: members.where(flag).select(F.col("class").alias(side), F.col("key").alias(f"k{side}"))
     pairs = links.join(of("a", "train"), "a").join(of("b", "test"), "b").where("ka != kb")
     return pairs.select(F.least("ka", "kb").alias("message_id_a"), F.greatest("ka", "kb").alias("message_id_b")).unionByName(twice).distinct()
@@ -182,15 +354,15 @@ def overlaps(df: DataFrame, key: str, text: str, train: DataFrame, test: DataFra
     text (a post in both splits is its own counterpart). Classes are counted, so
     copies cost nothing. Keys and texts are treated as by :func:`cross_split`.
     """
-    posts, members, links = _linked(df, key, text, train, test)
+    twice, members, links = _linked(df, key, text, train, test)
     sizes = members.groupBy("class").agg(F.count_if("train").alias("n_train"), F.count_if("test").alias("n_test"))
     parts = []
     for split, own, other in (("train", "a", "b"), ("test", "b", "a")):
         rest = "test" if split == "train" else "train"
         n = links.join(sizes.select(F.col("class").alias(other), F.col(f"n_{rest}").alias("n")), other).groupBy(F.col(own).alias("class")).agg(F.sum("n").alias("n_links"))
-        parts.append(members.where(split).join(n, "class").select("key", F.lit(split).alias("split"), "class", "n_links"))
+        parts.append(members.where(split).join(n, "class").select("key", F.lit(split).alias("split"), F.lower(F.hex("class")).alias("class"), "n_links"))
         # Posts in both splits without a text have no class.
-        bare = posts.where("train AND test").join(members, "key", "left_anti")
+        bare = twice.join(members, "key", "left_anti")
         parts.append(bare.select("key", F.lit(split).alias("split"), F.lit(None).cast("string").alias("class"), F.lit(1).cast("long").alias("n_links")))
     found = parts[0]
     for p in parts[1:]:

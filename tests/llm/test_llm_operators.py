@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import base64
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quorate.llm import abuse, bpe, clusters, consensus, garbled, lookalike, mixing, overlap, pairs, profiles, quota
+from quorate.staging import staging_root
 
 
 def rows(df):
@@ -107,6 +109,33 @@ def test_overlap_equals_brute_force(spark):
     assert {(r["key"], r["split"]): r["n_links"] for r in found.collect()} == links | {("q", "train"): 1, ("q", "test"): 1}
 
 
+def test_overlap_of_scattered_changes(spark):
+    # No three words in a row are left, though four fifths of the words are shared in the same order.
+    said = [f"word{i}" for i in range(60)]
+    data = {"a": said, "b": [w for i, w in enumerate(said) if i % 3], "c": said[::2], "d": ["so"] * 40, "e": ["so"] * 30, "f": ["so"] * 20, "g": ["one"], "h": ["ONE!"], "i": ["two"]}
+    d = spark.createDataFrame([(k, " ".join(t)) for k, t in data.items()], "id string, text string")
+    got = overlap.cross_split(d, "id", "text", spark.createDataFrame([(k,) for k in "adg"], "k string"), spark.createDataFrame([(k,) for k in "bcefhi"], "k string"))
+    assert rows(got) == [("a", "b"), ("d", "e"), ("g", "h")]
+
+
+def test_overlap_writes_in_proportion_to_its_texts(spark):
+    # All texts consist of the same phrases, so that many share some.
+    rng = random.Random(8)
+    phrases = [" ".join(rng.choice(["amber", "birch", "cedar", "delta", "ember", "fjord", "grove", "heath", "islet", "jetty"]) for _ in range(4)) for _ in range(150)]
+    data = [(f"p{k}", " ".join(rng.sample(phrases, 9))) for k in range(1500)]
+    train, test = ([(f"p{k}",) for k in range(1500) if (k % 5 == 0) == own] for own in (False, True))
+    d = spark.createDataFrame(data, "id string, text string")
+
+    def written():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(False).head().totalShuffleWrite() + sum(f.stat().st_size for f in Path(staging_root(spark)).rglob("*.parquet"))
+
+    before = written()
+    overlap.cross_split(d, "id", "text", spark.createDataFrame(train, "k string"), spark.createDataFrame(test, "k string")).collect()
+    assert written() - before < 4 * sum(len(t) for _, t in data)
+
+
 def test_shared_in_order():
     assert overlap.shared_in_order(list("abcd"), list("abxd")) == 0.75
     assert overlap.shared_in_order([], ["a"]) == 0.0

@@ -7,6 +7,7 @@ import random
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +119,29 @@ def test_overlap_of_scattered_changes(spark):
     assert rows(got) == [("a", "b"), ("d", "e"), ("g", "h")]
 
 
+def test_overlap_of_many_blocks(spark, monkeypatch):
+    class Texts:
+        def where(self, *_):
+            return self
+
+        select = where
+
+        def mapInArrow(self, pack, schema):  # noqa: N802
+            return pack
+
+    monkeypatch.setattr(overlap, "BLOCK", 40)
+    rng = random.Random(4)
+    said = [[rng.choice("abcdefgh") for _ in range(rng.randint(1, 14))] for _ in range(150)] + [["z"] * 100, ["z"] * 90]
+    said = [list(t) for t in dict.fromkeys(map(tuple, said))]
+    batch = pa.RecordBatch.from_pylist([{"class": i.to_bytes(32, "big"), "words": " ".join(t), "train": i % 2 == 0 or None, "test": i % 3 < 2} for i, t in enumerate(said)])
+    blocks = [b.to_pylist()[0] for b in overlap._blocks(Texts())(iter([batch.slice(0, 50), batch.slice(50)]))]
+    assert all(b["n_words"] <= 40 or len(b["classes"]) == 32 for b in blocks) and len(blocks) > 20
+    train, test = ([b for b in blocks if b["side"] == side] for side in ("train", "test"))
+    assert sorted(b["classes"][i : i + 32] for b in train for i in range(0, len(b["classes"]), 32)) == [i.to_bytes(32, "big") for i in range(0, len(said), 2)]
+    got = [(int.from_bytes(a, "big"), int.from_bytes(b, "big")) for x in train for y in test for a, b in overlap._Lists(x).alike(y)]
+    assert sorted(got) == [(i, j) for i in range(0, len(said), 2) for j in range(len(said)) if j % 3 < 2 and i != j and overlap.shared_in_order(said[i], said[j]) >= overlap.SHARED]
+
+
 def test_overlap_writes_in_proportion_to_its_texts(spark):
     # All texts consist of the same phrases, so that many share some.
     rng = random.Random(8)
